@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, packing, quality, simhash, toxicity
+from . import editprint, htmlgraph, linededup, nndescent, packing, quality, sentencepiece_bpe, simhash, toxicity, warc
 from .common import Query, table
 
 
@@ -12,10 +12,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encoded(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dropped_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.copies(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -24,16 +32,28 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.salvage_pages(spark, sf_dir)
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlgraph.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {
-    "op1_toxicity": op1_toxicity,
-    "op3_line_dedup": op3_line_dedup,
-    "op5_simhash": op5_simhash,
-    "op6_packing": op6_packing,
-    "op10_quality": op10_quality,
-}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_edit_fingerprints, op5_simhash, op6_packing, op7_warc_salvage, op8_html_extraction, op9_embedding_neardup, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The records of all pages but the damaged ones, and a gap for each of those.
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_salvage": """
+SELECT 'record' AS kind, page_id, url, md5(html) AS html_md5 FROM pages WHERE page_id % 50 <> 7 AND url IS NOT NULL AND html IS NOT NULL
+UNION ALL
+SELECT 'gap', NULL, NULL, NULL FROM pages WHERE page_id % 50 = 7 AND url IS NOT NULL AND html IS NOT NULL""",
+}
