@@ -26,6 +26,15 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def tuned(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands Python workers at most 2000 rows at a time unless it is set to less: rows are whole documents, and a batch lies in memory on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= 2000:
+        conf.set(key, "2000")
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
