@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, by_part, fresh, gathered, mix, partitions, scattered, written
+from .common import BLOB_SCHEMA, by_part, fresh, gathered, mix, partitions, scattered, tuned, written
 
 RECORD = np.dtype([("key", "<u4"), ("sketch", "<u4"), ("hash", "<i8")])
 INDEX = np.uint32(1)  # lowest bit of the key: an index row, and not a probe
+BROADCAST_ROWS = 1_000_000  # hashes, 8 bytes each; more are joined by a shuffle
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,7 +112,7 @@ def keyed(lines: list[str], hashes: np.ndarray, params: Params = Params()) -> tu
     return np.concatenate(out), np.concatenate(keys)
 
 
-def candidates(r: np.ndarray, most_bits: int = 4, step: int = 4_000_000) -> np.ndarray:
+def candidates(r: np.ndarray, most_bits: int = 4, step: int = 500_000) -> np.ndarray:
     """Pairs of hashes (less, greater) of the records of one part that share a key and whose sketches are near."""
     is_index = (r["key"] & INDEX) == INDEX
     x = np.unique(r[is_index])
@@ -147,9 +148,12 @@ def edit_distances(a: list[str], b: list[str], most: int) -> np.ndarray:
     out[tiny] = [min(most + 1, _whole(long_[i], short[i])) for i in tiny]
     rows = np.flatnonzero((n1 - n2 <= most) & (n1 > 2 * most))
     rows = rows[np.argsort(n1[rows], kind="stable")]
-    for k in range(0, len(rows), 4096):
+    k = 0
+    while k < len(rows):  # as many pairs at once as keep the arrays small
         part = rows[k : k + 4096]
+        part = part[: max(1, int(np.searchsorted(n1[part] * np.arange(1, len(part) + 1), 1_000_000, "right")))]
         out[part] = _band([long_[i] for i in part], [short[i] for i in part], n1[part], n2[part], most)
+        k += len(part)
     return out
 
 
@@ -201,7 +205,7 @@ def _band(a: list[str], b: list[str], n1: np.ndarray, n2: np.ndarray, most: int)
 
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line of the lines that aren't blank."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.split(F.col("text"), "\n").alias("l")).where("doc_id is not null and l is not null")
+    d = tuned(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.split(F.col("text"), "\n").alias("l")).where("doc_id is not null and l is not null")
     return d.select("doc_id", F.posexplode("l").alias("line_no", "line")).where(F.length(F.trim("line")) > 0)
 
 
@@ -214,6 +218,8 @@ def near_pairs(docs: DataFrame, params: Params = Params()) -> DataFrame:
             for k in range(0, len(whole), 20_000):
                 b = whole.slice(k, 20_000)
                 r, key = keyed(b.column(0).to_pylist(), b.column(1).to_numpy(), params)
+                order = np.argsort(r["key"], kind="stable")  # sorted runs, which a part only has to merge
+                r, key = r[order], key[order]
                 yield scattered(r, (key % np.uint64(n)).astype(np.int64), n)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +239,9 @@ def dropped_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
     first = written(seen.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
     pairs = written(near_pairs(docs, params), "pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    wanted = written(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # the lines' texts then stay where they are but for those looked for
+        wanted = F.broadcast(wanted)
     texts = lines.withColumn("h", F.xxhash64("line")).join(wanted, "h").groupBy("h").agg(F.min("line").alias("line"))
     texts = written(texts, "texts")
 
