@@ -22,7 +22,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, tuned
 
 
 @dataclass(frozen=True)
@@ -224,13 +224,13 @@ def scorer(model: Model):
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, Column]:
     name = fresh(docs, "__toxicity")
-    return docs.withColumn(name, scorer(model)(F.col(text_col))), F.col(name)
+    return tuned(docs).withColumn(name, scorer(model)(F.col(text_col))), F.col(name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, score (share of toxic windows), windows, toxic_windows, toxic for each row of docs."""
     model = train(docs, labels, params)
-    d = docs.select(F.col("doc_id"), scorer(model)(F.col("text")).alias("s"))
+    d = tuned(docs).select(F.col("doc_id"), scorer(model)(F.col("text")).alias("s"))
     return d.select("doc_id", F.when(~F.isnan("s.score"), F.col("s.score")).alias("score"), "s.windows", "s.toxic_windows", "s.toxic")
 
 
