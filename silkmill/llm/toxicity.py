@@ -2,9 +2,10 @@
 
 One zstandard dictionary is trained on ordinary text and one on toxic text: the words and word
 beginnings of toxic documents that are in significantly more contexts there than in ordinary documents. The toxic compressor has the ordinary dictionary behind its own, so
-that on ordinary text both compress alike. A window of a text counts as toxic where the toxic dictionary shortens it by at least a threshold
-against the ordinary one; a document is toxic by the number and the share of such windows. Both thresholds are calibrated
-on labelled documents held out of the dictionaries.
+that on ordinary text both compress alike. The bytes by which the toxic dictionary shortens a window against the ordinary one
+have a weight, the logarithm of how much oftener windows of toxic documents have that gain than those of ordinary ones; a document
+is toxic if the sum over its windows is at least a threshold. Weights and threshold are calibrated on labelled documents
+held out of the dictionaries.
 
 Defined results: a null text has a null score and is not toxic; an empty text scores 0 and is not toxic; labels of null,
 or of documents that aren't there, are left out of training; without toxic or without ordinary labels nothing is toxic.
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import fresh, tuned
 
 
+GAINS = 10
+
+
 @dataclass(frozen=True)
 class Params:
     window: int = 64  # bytes, cut at white space
@@ -35,6 +39,7 @@ class Params:
     significance: float = 24.0  # and its log-likelihood ratio
     level: int = 5
     min_match: int = 5
+    false_cost: float = 3.0  # how many missed toxic documents one ordinary document taken for toxic is worth, in shares
     base_bytes: int = 6000
     toxic_bytes: int = 2000
 
@@ -43,9 +48,8 @@ class Params:
 class Model:
     ordinary: bytes
     toxic: bytes
-    shortened: int
-    least: int
-    share: float
+    weights: tuple[float, ...]  # by bytes gained, from 0 or less to the last or more
+    cutoff: float
     params: Params
 
     def compressors(self):
@@ -93,10 +97,17 @@ def window_gains(texts: list[str], model: Model, comp) -> tuple[np.ndarray, np.n
     return gain, counts
 
 
-def hits(gain: np.ndarray, counts: np.ndarray, shortened: int) -> np.ndarray:
-    c = np.concatenate([[0], np.cumsum(gain >= shortened)])
+def gain_bins(gain: np.ndarray) -> np.ndarray:
+    return np.clip(gain, 0, GAINS - 1)
+
+
+def decided(gain: np.ndarray, counts: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each text is toxic, its score, and the number of its windows that speak for it."""
+    w = np.array(model.weights)[gain_bins(gain)]
     ends = np.cumsum(counts)
-    return c[ends] - c[ends - counts]
+    sums, speak = (np.concatenate([[0.0], np.cumsum(x)]) for x in (w, w > 0))
+    score = sums[ends] - sums[ends - counts] if len(counts) else np.zeros(0)
+    return (score >= model.cutoff) & (counts > 0), score, (speak[ends] - speak[ends - counts]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
 
 
 def words_of(text: str) -> list[str]:
@@ -159,7 +170,7 @@ def trained_dictionary(samples: list[bytes], size: int) -> bytes:
 
 def fit(toxic: list[str], ordinary: list[str], params: Params = Params()) -> Model:
     """Dictionaries from the first part of each list, thresholds from the held-out rest."""
-    empty = Model(b" " * 8, b" " * 8, 1 << 30, 1, 0.0, params)
+    empty = Model(b" " * 8, b" " * 8, (0.0,) * GAINS, float("inf"), params)
     if not toxic or not ordinary:
         return empty
     kt, ko = max(1, round(len(toxic) * (1 - params.held_out))), max(1, round(len(ordinary) * (1 - params.held_out)))
@@ -179,22 +190,18 @@ def fit(toxic: list[str], ordinary: list[str], params: Params = Params()) -> Mod
     whole = b"".join(reversed(kept))
     toxic_part = (trained_dictionary([x for x in phrases if x not in set(kept)], params.toxic_bytes // 2) if len(kept) < len(distinct) else b"") + whole
     pieces = [r[a:b] for t in oo for r in ((" " + t.lower() + " ").encode(),) for c in (cuts(r, params.window).tolist(),) for a, b in zip(c, c[1:], strict=False)]
-    model = Model(trained_dictionary(pieces, params.base_bytes), toxic_part, 1, 1, 0.0, params)
-    ht, ho = toxic[kt:] or toxic, ordinary[ko:] or ordinary
+    model = Model(trained_dictionary(pieces, params.base_bytes), toxic_part, (0.0,) * GAINS, 0.0, params)
     comp = model.compressors()
-    (gt, nt), (go, no) = window_gains(ht, model, comp), window_gains(ho, model, comp)
-    best = (-1.0, 0, 1, 0.0)
-    for shortened in range(2, 9):
-        ht_, ho_ = hits(gt, nt, shortened), hits(go, no, shortened)
-        rt, ro = ht_ / np.maximum(nt, 1), ho_ / np.maximum(no, 1)
-        for least_hits in (1, 2, 3):
-            for share in (0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.13):
-                tpr = float(((ht_ >= least_hits) & (rt >= share)).mean())
-                fpr = float(((ho_ >= least_hits) & (ro >= share)).mean())
-                score = tpr - 3 * fpr
-                if score > best[0] + 1e-9:
-                    best = (score, shortened, least_hits, share)
-    return Model(model.ordinary, model.toxic, best[1] or 1 << 30, best[2], best[3], params)
+    (gt, nt), (go, no) = window_gains(toxic[kt:] or toxic, model, comp), window_gains(ordinary[ko:] or ordinary, model, comp)
+    have_t, have_o = (np.bincount(gain_bins(g), minlength=GAINS) + 0.5 for g in (gt, go))
+    weights = np.log(have_t / have_t.sum()) - np.log(have_o / have_o.sum())
+    model = Model(model.ordinary, model.toxic, tuple(weights.tolist()), 0.0, params)
+    st, so = decided(gt, nt, model)[1], decided(go, no, model)[1]
+    cuts_ = np.unique(np.concatenate([st, so]))
+    best = max(cuts_.tolist(), key=lambda c: ((st >= c).mean() - params.false_cost * (so >= c).mean(), c))
+    below = cuts_[cuts_ < best]
+    cutoff = (best + below[-1]) / 2 if len(below) else best
+    return Model(model.ordinary, model.toxic, model.weights, float(cutoff), params)
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -214,10 +221,8 @@ def scorer(model: Model):
         score.__dict__["comp"] = comp
         null = texts.isna().to_numpy()
         gain, counts = window_gains([t if isinstance(t, str) else "" for t in texts], model, comp)
-        h = hits(gain, counts, model.shortened) if len(counts) else np.zeros(0, int)
-        rate = h / np.maximum(counts, 1)
-        toxic = (h >= model.least) & (rate >= model.share) & ~null
-        return pd.DataFrame({"score": np.where(null, np.nan, rate), "windows": counts, "toxic_windows": h, "toxic": toxic})
+        toxic, total, speak = decided(gain, counts, model)
+        return pd.DataFrame({"score": np.where(null, np.nan, total), "windows": counts, "toxic_windows": speak, "toxic": toxic & ~null})
 
     return score
 
@@ -228,7 +233,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataF
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id, score (share of toxic windows), windows, toxic_windows, toxic for each row of docs."""
+    """doc_id, score (sum of the windows' weights), windows, toxic_windows, toxic for each row of docs."""
     model = train(docs, labels, params)
     d = tuned(docs).select(F.col("doc_id"), scorer(model)(F.col("text")).alias("s"))
     return d.select("doc_id", F.when(~F.isnan("s.score"), F.col("s.score")).alias("score"), "s.windows", "s.toxic_windows", "s.toxic")
