@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, linear, logistic
+from .common import fresh, linear, logistic, tuned
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class Params:
 
 
 def content_features(text: str) -> np.ndarray:
-    """Shares of bytes by kind, in square roots, and word shape."""
+    """Shares of bytes by kind, in square roots, word shape and repetition."""
     raw = text.encode("utf-8", "replace")
     a = np.frombuffer(raw, np.uint8)
     h = np.bincount(a, minlength=256).astype(np.float64)
@@ -44,6 +44,10 @@ def content_features(text: str) -> np.ndarray:
     spaces = max(1.0, h[32] + h[10])
     letters = max(1.0, h[65:91].sum() + h[97:123].sum() + h[128:].sum())
     shape = [h[65:91].sum() / letters, np.log1p(n / spaces), (h[33:48].sum() + h[58:65].sum() + h[91:97].sum() + h[123:127].sum()) / n, h[48:58].sum() / n]
+    words = text.split()
+    k = max(1, len(words))
+    again = sum(map(str.__eq__, words, words[1:])) / k
+    shape += [np.sqrt(again), float(again > 0.2), len(set(words)) / k, float(len(words) < 10)]
     return np.concatenate([np.sqrt(ascii_[9:] / n), np.sqrt(high / n), shape])
 
 
@@ -135,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Mode
     """Fits on bounded samples, taken by the hash of doc_id."""
     lab = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y")).where("__id is not null and __y in (0, 1)").distinct()
     chosen = lab.orderBy(F.xxhash64("__id"), "__id").limit(params.train_docs)
-    d = docs.select(F.col("doc_id").alias("__id"), "text", "lang", "source", "n_chars").where("__id is not null")
+    d = tuned(docs).select(F.col("doc_id").alias("__id"), "text", "lang", "source", "n_chars").where("__id is not null")
     drawn = d.select("__id").orderBy(F.xxhash64("__id", F.lit(7)), "__id").limit(params.pool_docs).distinct().withColumn("__y", F.lit(-1)).join(chosen.select("__id"), "__id", "left_anti")
     extract = F.pandas_udf(_packed, "array<double>")
     rows = d.join(F.broadcast(chosen.union(drawn)), "__id").select("__id", "__y", extract("text", "lang", "source", "n_chars").alias("x")).orderBy(F.xxhash64("__id"), "__id", "__y").collect()
@@ -169,7 +173,7 @@ def scorer(model: Model):
 def quality(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, score, keep for each row of docs."""
     model = train(docs, labels, params)
-    d = docs.select("doc_id", scorer(model)("text", "lang", "source", "n_chars").alias("s"))
+    d = tuned(docs).select("doc_id", scorer(model)("text", "lang", "source", "n_chars").alias("s"))
     return d.select("doc_id", F.when(~F.isnan("s.score"), F.col("s.score")).alias("score"), "s.keep")
 
 
