@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tuned
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NONE = np.int32(1 << 30)
@@ -261,7 +263,7 @@ def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_co
 
     import pyarrow.compute  # noqa: F401
 
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    d = tuned(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(each, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
