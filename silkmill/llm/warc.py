@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tuned
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -144,13 +144,13 @@ def records_at(buf: bytes, at: int, whole: bool) -> tuple[list[Found], str, int]
     return ([got] if got else []), why, end
 
 
+MARKS = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+
+
 def candidates(buf: bytes, at: int) -> Iterator[int]:
-    """Places from at on where a member or a version line may begin."""
-    for m in re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n").finditer(buf, at):
-        if m.group().startswith(b"\x1f") or m.start() == 0 or buf[m.start() - 1] in b"\r\n":
-            yield m.start()
-        elif m.start() == at:
-            yield m.start()
+    """Places from at on where a member or a version line may begin; after a truncated record that need not be a new line."""
+    for m in MARKS.finditer(buf, at):
+        yield m.start()
 
 
 def next_valid(buf: bytes, at: int, whole: bool) -> int:
@@ -168,14 +168,18 @@ def salvage(buf: bytes, first: bool = True, limit: int | None = None, whole: boo
     """Records that begin before limit and gaps up to the first record after it. first: the file begins here; otherwise what comes before the first valid record is the range's before."""
     limit = len(buf) if limit is None else limit
     at = 0 if first else next_valid(buf, 0, whole)
-    while at < min(limit, len(buf)):
+    while at < len(buf):
         found, why, end = records_at(buf, at, whole)
+        if found and at >= limit:
+            return
         if found:
             yield from found
             at = end
-            continue
-        start, at = at, next_valid(buf, at + 1, whole)
-        yield Found("gap", start, at, why)
+        else:
+            start, at = at, next_valid(buf, at + 1, whole)
+            yield Found("gap", start, at, why)
+        if at >= len(buf) and not whole:
+            raise NeedMore
 
 
 def html_of(block: bytes) -> bytes:
@@ -273,7 +277,7 @@ def archived(pages: DataFrame, damage_every: int = 0, damage_at: int = 0, blob_b
         if parts:
             yield out()
 
-    d = pages.select("page_id", "url", "html").where("url is not null and html is not null")
+    d = tuned(pages).select("page_id", "url", "html").where("url is not null and html is not null")
     return d.mapInArrow(each, "path string, content binary")
 
 
