@@ -32,7 +32,7 @@ def tree(html: str) -> Tpl:
     def of(n: Node) -> Tpl:
         return Tpl(n.tag, [of(k) if isinstance(k, Node) else " ".join(k.split()) for k in n.kids if isinstance(k, Node) or k.strip()])
 
-    return fold(of(parse(html)))
+    return of(parse(html))
 
 
 def fold(t: Tpl) -> Tpl:
@@ -82,7 +82,7 @@ def align(a: Tpl, b: Tpl) -> Tpl:
 def induce(pages: list[str]) -> Tpl | None:
     t = None
     for p in pages:
-        t = tree(p) if t is None else align(t, tree(p))
+        t = fold(tree(p)) if t is None else align(t, fold(tree(p)))
     return t
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frontier import TERMINAL
@@ -16,9 +16,10 @@ def run_summary(p: DataFrame) -> DataFrame:
     return p.agg(F.count("*").alias("total"), n(s == "HTML", "html"), n(s == "HUB", "hub"), n(s == "BINARY", "bin"), n(s == "DUPLICATE", "duplicate"), n(s == "FRONTIER", "frontier"), n(s == "PROCESSING", "processing"), n(s == "ERROR", "error"))
 
 
-def heartbeat(p: DataFrame, as_of: Column) -> DataFrame:
+def heartbeat(p: DataFrame, as_of: str) -> DataFrame:
+    """as_of: a timestamp in SQL."""
     s = F.col("page_type_code")
-    age = F.expr(f"timestampdiff(MILLISECOND, claimed_at, {as_of})") if isinstance(as_of, str) else None
+    age = F.expr(f"timestampdiff(MILLISECOND, claimed_at, {as_of})")
     return p.agg(F.count_if(s == "FRONTIER").alias("frontier"), F.count_if(s == "PROCESSING").alias("processing"), F.count_if(s.isin(*TERMINAL)).alias("terminal"), F.coalesce(F.max(F.when(s == "PROCESSING", age)), F.lit(0)).cast("bigint").alias("oldest_lease_ms"))
 
 
@@ -89,7 +90,3 @@ def remedies(p: DataFrame) -> DataFrame:
     d = p.sparkSession.createDataFrame(rows, "category string, setting string, hint string")
     return errors_by_category(p).join(F.broadcast(d), "category", "left").select("category", "pages", "setting", "hint")
 
-
-def running_max(rows: DataFrame, order: str, value: str) -> DataFrame:
-    w = Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running_max", F.max(value).over(w))

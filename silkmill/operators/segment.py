@@ -68,18 +68,22 @@ def block_kinds(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def quality(segs: DataFrame, cap: int = 240) -> DataFrame:
     """By strategy: pages, segments, tokens (least, median, nearest-rank 95th), small and over-long ones, heading coverage, warnings."""
-    w = Window.partitionBy("strategy").orderBy("token_estimate", "page_id", "chunk_index")
-    r = segs.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("strategy")))
     t = F.col("token_estimate")
-    out = r.groupBy("strategy").agg(
+    out = segs.groupBy("strategy").agg(
         F.countDistinct("page_id").alias("pages"),
         F.count("*").alias("segments"),
         F.min(t).alias("min_tokens"),
         F.expr("cast(percentile(token_estimate, 0.5) as int)").alias("median_tokens"),
-        F.max(F.when(F.col("rn") == F.greatest(F.lit(1), F.rint(F.lit(95 / 100.0) * F.col("n"))), t)).alias("p95_tokens"),
         F.count_if(t < 20).alias("under_20"),
         F.count_if(t < 40).alias("under_40"),
         F.count_if(t > cap).alias("over_cap"),
         F.round(100 * F.count_if(F.col("heading_path").isNotNull()) / F.count("*"), 2).alias("heading_percent"),
     )
+    # ranks over the histogram of token counts, which stays small, and not over the segments
+    w = Window.partitionBy("strategy").orderBy("token_estimate").rowsBetween(Window.unboundedPreceding, 0)
+    h = segs.groupBy("strategy", "token_estimate").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w))
+    h = h.withColumn("n", F.sum("c").over(Window.partitionBy("strategy")))
+    rank = F.greatest(F.lit(1), F.rint(F.lit(95 / 100.0) * F.col("n")))
+    p95 = h.where((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select("strategy", F.col("token_estimate").alias("p95_tokens"))
+    out = out.join(p95, "strategy")
     return out.withColumn("warn", (F.col("median_tokens") < 120) | (F.col("p95_tokens") > 450) | (F.col("over_cap") > 0))

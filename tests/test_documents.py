@@ -88,7 +88,7 @@ def test_sibling_merging():
 
 def test_long_words_are_cut():
     rows = segment.segments("[H1] A\n\n" + "://" * 400, "v2")
-    assert all(r["token_estimate"] <= 240 for r in rows) and "".join(r["segment_text"] for r in rows) == "://" * 400
+    assert all(r["token_estimate"] <= 240 for r in rows) and "".join(r["segment_text"] for r in rows) .removeprefix("### A").replace("\n", "") == "://" * 400
 
 
 def test_sentence_chunks():
