@@ -31,8 +31,8 @@ class EngineConfig:
     occurrence_cap: int = 128
     seed_score: float = 1000.0
     crawl_hosts: tuple[str, ...] = ("github.com", "www.github.com")
-    deny_subpaths: tuple[str, ...] = ("blob", "issues", "labels", "discussions", "pulls", "pull")
-    binary_suffixes: tuple[str, ...] = ("py", "txt", "yaml", "ipynb")
+    deny_subpaths: tuple[str, ...] = tuple("blob discussions issues labels pull pulls".split())
+    binary_suffixes: tuple[str, ...] = tuple("ipynb py txt yaml".split())
     max_url_length: int = 3000
     top_k: int = 5
     candidate_k: int = 20

@@ -14,12 +14,14 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 LIKE = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"ul", "ol", "table", "div", "section", "article", "body", "blockquote", "nav"}
 ENDS_P = set("p div ul ol li table h1 h2 h3 h4 h5 h6 pre blockquote section article nav header footer hr form".split())
-EMITTED = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "li", "blockquote", "tr")
+EMITTED = (*(f"h{n}" for n in range(1, 7)), *"blockquote li p pre tr".split())
 NESTED = {*EMITTED, "ul", "ol"}
-WEAK = set("here|link|links|paper|code|repo|repository|website|more|read more|details|demo|project|arxiv".split("|"))
+WEAK = set("arxiv|code|demo|details|here|link|links|more|paper|project|read more|repo|repository|website".split("|"))
+SPACES, AROUND, BLANKS = re.compile(r"[\t ]+"), re.compile(r" *\n *"), re.compile(r"\n{3,}")
+OTHER, ENDED = re.compile("[^0-9a-z]+"), re.compile(r"[!?.]\s*$")
 TOC = {"table of contents", "contents", "toc"}
-IMAGES = tuple(".png .jpg .jpeg .gif .webp .svg .ico .bmp .avif .heic .tif .tiff".split())
-IMAGE_HOSTS = {"user-images.githubusercontent.com", "camo.githubusercontent.com"}
+IMAGES = tuple("." + x for x in "avif bmp gif heic ico jpeg jpg png svg tif tiff webp".split())
+IMAGE_HOSTS = {f"{h}.githubusercontent.com" for h in ("camo", "user-images")}
 SELECTORS = ("article.markdown-body[itemprop=text]", "article.markdown-body.entry-content", "article.markdown-body", "article")
 CLIPBOARD = "data-snippet-clipboard-copy-content"
 REDIRECT = re.compile(r"(?:location\.href|document\.location)\s*=\s*(['\"])(.+?)\1", re.I | re.S)
@@ -171,7 +173,7 @@ def images(html: str | None, base: str) -> list[tuple[int, str, str]]:
 
 
 def _squeeze(s: str) -> str:
-    return re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", s)).strip()
+    return AROUND.sub("\n", SPACES.sub(" ", s)).strip()
 
 
 def _is_image(href: str) -> bool:
@@ -182,15 +184,14 @@ def _is_image(href: str) -> bool:
     return u.scheme in ("http", "https") and (u.path.lower().endswith(IMAGES) or u.netloc.lower() in IMAGE_HOSTS)
 
 
-def anchor_text(label: str, href: str | None) -> str:
+def anchor_text(words: str, target: str | None) -> str:
     """A link's label, with its target where the label says little."""
-    label, href = _squeeze(label), (href or "").strip()
+    label, href = _squeeze(words), (target or "").strip()
     if not href.startswith(("http://", "https://")) or _is_image(href):
         return label
     if not label:
         return href
-    words = label.lower().split()
-    weak = label.lower() in WEAK or (len(words) == 1 and len(words[0]) <= 4)
+    weak = label.lower() in WEAK or (len(label) <= 4 and not re.search(r"\s", label))
     return f"{label} ({href})" if weak else label
 
 
@@ -257,7 +258,7 @@ def blocks(root: Node, compat: bool = False) -> list[tuple[str, int | None, str]
 
 
 def plain(s: str) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", s.lower()).strip()
+    return OTHER.sub(" ", s.lower()).strip()
 
 
 def without_toc(bs: list) -> list:
@@ -269,7 +270,7 @@ def without_toc(bs: list) -> list:
         if p in TOC:
             skipping = True
             continue
-        entry = bool(p) and "http" not in p and len(p.split()) <= 16 and len(s) <= 160 and not re.search(r"[.!?]\s*$", s)
+        entry = bool(p) and len(s) <= 160 and len(p.split()) <= 16 and "http" not in p and not ENDED.search(s)
         if skipping and level is None and (tag == "li" or entry):
             continue
         skipping = False
@@ -300,4 +301,4 @@ def cleaned(html: str | None, selectors: tuple[str, ...] = SELECTORS, compat: bo
         return None
     strip_noise(root)
     parts = [f"[H{level}] {s}" if level else fenced(s) if tag == "pre" else s for tag, level, s in without_toc(blocks(root, compat))]
-    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(parts).strip()) or None
+    return BLANKS.sub("\n\n", "\n\n".join(parts).strip()) or None

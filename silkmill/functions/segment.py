@@ -10,15 +10,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-
-HEADING = re.compile(r"\[H([1-6])\]\s+(.+?)\s*$")
-TOKEN = re.compile(r"\w+|[^\w\s]")
-ITEM = re.compile(r"\s*(?:[-*+]\s+|\d+[.)]\s+)")
-CODE = re.compile(r"[{}();:=<>#\[\]]")
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
+from itertools import groupby
+
+HEADING = re.compile(r"\[H(?P<level>[1-6])]\s+(?P<title>.*\S)\s*$")
+TOKEN = re.compile(r"\w+|[^\s\w]")
+ITEM = re.compile(r"\s*([*+-]|\d+[).])\s")
+CODE = re.compile(r"[\[\]{}()<>;:=#]")
+SENTENCE = re.compile(r"(?<=[!?.])\s+")
+MARKS = re.compile(r"[^\s\w]")
 BLANK = re.compile(r"\n\s*\n")
-AUTHORS = {"authors", "author", "maintainers", "credits"}
-REFERENCES = {"references", "bibliography", "works cited", "citations", "publications", "further reading"}
+AUTHORS = set("author authors credits maintainers".split())
+REFERENCES = set("bibliography|citations|further reading|publications|references|works cited".split("|"))
 STRATEGIES = ("v1", "v2", "v3", "v4")
 SEP = " > "
 Path = tuple[str, ...]
@@ -94,11 +96,11 @@ def kind_of(text: str) -> str:
         return "prose"
     if sum(bool(ITEM.match(x)) for x in lines) >= max(1, int(0.6 * n)):
         return "list_item"
-    if n >= 2 and sum("|" in x for x in lines) >= max(2, n // 2):
+    if n > 1 and max(2, n // 2) <= sum("|" in x for x in lines):
         return "table_rows"
-    if "```" in text:
+    if text.find("```") >= 0:
         return "code_block"
-    if n >= 2 and (any(x.startswith(("    ", "\t")) for x in lines) or sum(bool(CODE.search(x)) for x in lines) >= n // 2):
+    if n > 1 and (any(x.startswith(("    ", "\t")) for x in lines) or sum(bool(CODE.search(x)) for x in lines) >= n // 2):
         return "code_block"
     return "prose"
 
@@ -109,13 +111,13 @@ def blocks_of(text: str) -> list[Block]:
         if not raw:
             continue
         m = HEADING.match(raw)
-        out.append(Block(m.group(2).strip(), "heading", int(m.group(1))) if m else Block(raw, kind_of(raw)))
+        out.append(Block(m["title"], "heading", int(m["level"])) if m else Block(raw, kind_of(raw)))
     return out
 
 
 def sections(blocks: list[Block], cfg: Config) -> Iterator[tuple[Path, list[Block]]]:
-    stack: list[tuple[int, str]] = [(0, cfg.root)]
-    held: list[Block] = []
+    top = (0, cfg.root)
+    stack, held = [top], []
     for b in blocks:
         if b.kind != "heading":
             held.append(b)
@@ -135,22 +137,15 @@ def parent(path: Path) -> Path:
 def bundled(blocks: list[Block], cfg: Config) -> list[Block]:
     """Runs of list items as bundles of at most bundle_most, the last not too small."""
     out: list[Block] = []
-    i = 0
-    while i < len(blocks):
-        j = i
-        while j < len(blocks) and blocks[j].kind == "list_item":
-            j += 1
-        if j == i:
-            out.append(blocks[i])
-            i += 1
-            continue
-        while i < j:
-            left = j - i
-            take = min(left, cfg.bundle_most)
-            if 0 < left - take < cfg.bundle_least:
-                take = max(cfg.bundle_least, left - cfg.bundle_least)
-            out.append(Block("\n".join(b.text for b in blocks[i : i + take]).strip(), "list_bundle"))
-            i += take
+    for listed, run in groupby(blocks, lambda b: b.kind == "list_item"):
+        run = list(run)
+        while listed and run:
+            take = min(len(run), cfg.bundle_most)
+            if 0 < len(run) - take < cfg.bundle_least:
+                take = max(cfg.bundle_least, len(run) - cfg.bundle_least)
+            out.append(Block("\n".join(b.text for b in run[:take]).strip(), "list_bundle"))
+            run = run[take:]
+        out += run
     return out
 
 
@@ -220,12 +215,12 @@ def v1(text: str, cfg: Config) -> list[dict]:
 
 def combined(prefix: str, body: str) -> str:
     """A model's input: prefix, blank line, body."""
-    return f"{prefix}\n\n{body}".strip() if prefix and body else prefix or body
+    return "\n\n".join(x for x in (prefix, body) if x).strip()
 
 
 def type_label(kind: str, parts: tuple[Part, ...], path: Path, cfg: Config) -> str:
     titles = [t for t in ((p.title.strip() or (p.source[-1] if p.source else "")) for p in parts) if t] or ([path[-1] if path else cfg.root] if path else [])
-    norm = [re.sub(r"[^\w\s]", "", re.sub(r"\s+", " ", t.strip().lower())).strip() for t in titles]
+    norm = [MARKS.sub("", " ".join(t.lower().split())).strip() for t in titles]
     if norm and all(t in AUTHORS for t in norm):
         return "authors"
     if norm and all(t in REFERENCES for t in norm):

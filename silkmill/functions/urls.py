@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RESERVED = "explore login logout signup pricing features security enterprise marketplace settings sponsors sponsor collections trending readme mobile customer-stories team about git pulls notifications new organizations account".split()
+RESERVED = "about account collections customer-stories enterprise explore features git login logout marketplace mobile new notifications organizations pricing pulls readme security settings signup sponsor sponsors team trending".split()
 CANONICAL = "accepted boolean, url string, reason string"
 MAX_URL = 3000
 

@@ -66,11 +66,11 @@ class QuotingGenerator:
 
 @dataclass(frozen=True)
 class Retrieval:
+    metric: str = "cosine"
+    strategy: str | None = None
+    rerank: bool = True
     top_k: int = 5
     candidate_k: int = 20
-    rerank: bool = True
-    strategy: str | None = None
-    metric: str = "cosine"
     max_context_chars: int = 7000
 
     def validate(self) -> Retrieval:

@@ -52,8 +52,8 @@ def block_kinds(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
     b = b.withColumn("lines", lines).withColumn("n", F.size("lines"))
     count = lambda f: F.size(F.filter("lines", f))
-    items, pipes = count(lambda x: x.rlike(r"^\s*([-*+]\s+|\d+[.)]\s+)")), count(lambda x: x.contains("|"))
-    indented, marks = count(lambda x: x.rlike(r"^(    |\t)")), count(lambda x: x.rlike(r"[{}();:=<>#\[\]]"))
+    items, pipes = count(lambda x: x.rlike(r"^\s*([*+-]|\d+[).])\s")), count(lambda x: x.contains("|"))
+    indented, marks = count(lambda x: x.rlike(r"^(    |\t)")), count(lambda x: x.rlike(r"[\[\]{}()<>;:=#]"))
     half = F.floor(F.col("n") / 2)
     kind = (
         F.when(F.col("block").rlike(r"^\[H[1-6]\]\s+.+$"), "heading")

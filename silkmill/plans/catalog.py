@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions import scoring, urls, vectors
 from ..operators import dedup, frontier, html, rag, report, segment, text, wrapper
 from ..sources import sinks
@@ -15,7 +16,8 @@ from .fixtures import AS_OF, AS_OF_SQL, CATEGORIES, PAGE_SQL, START, as_of, craw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-HOSTS = ("github.com", "www.github.com")
+CFG = EngineConfig()
+HOSTS = CFG.crawl_hosts
 NOW = f"TIMESTAMP_NTZ '{AS_OF}'"
 PRIMARY, SECONDARY = ["the", "re", "an"], ["tion", "er"]
 
@@ -69,9 +71,9 @@ def url_path_segments(s, d):
     return load(s, d, "pages").select("page_id", F.size(urls.path_segments(F.col("url"))).cast("bigint").alias("segments"))
 
 
-@query(f"""WITH {URLS_SQL} SELECT doc_id, CASE WHEN regexp_extract(url, '[^/][.]([A-Za-z0-9]+)([?#].*)?$', 1) IN ('py', 'txt', 'yaml', 'ipynb') THEN TRUE ELSE FALSE END AS forced_binary FROM urls""")
+@query(f"""WITH {URLS_SQL} SELECT doc_id, CASE WHEN regexp_extract(url, '[^/][.]([A-Za-z0-9]+)([?#].*)?$', 1) IN ('ipynb', 'py', 'txt', 'yaml') THEN TRUE ELSE FALSE END AS forced_binary FROM urls""")
 def url_suffix_policy(s, d):
-    return derived_urls(s, d).select("doc_id", urls.forced_binary(F.col("url"), ("py", "txt", "yaml", "ipynb")).alias("forced_binary"))
+    return derived_urls(s, d).select("doc_id", urls.forced_binary(F.col("url"), CFG.binary_suffixes).alias("forced_binary"))
 
 
 @query(f"WITH {URLS_SQL} SELECT doc_id, doc_id % 10 IN (0, 1) AS hub FROM urls")
@@ -82,7 +84,7 @@ def hub_classify(s, d):
 @query(f"WITH {URLS_SQL} SELECT doc_id, url LIKE 'https://github.com/topics%' AS topics, doc_id % 10 IN (2, 3) AS subpath FROM urls")
 def discovery_blocks(s, d):
     u = F.col("url")
-    return derived_urls(s, d).select("doc_id", urls.topics_blocked(u, HOSTS).alias("topics"), urls.subpath_blocked(u, HOSTS, ("blob", "issues", "labels", "discussions", "pulls", "pull")).alias("subpath"))
+    return derived_urls(s, d).select("doc_id", urls.topics_blocked(u, HOSTS).alias("topics"), urls.subpath_blocked(u, HOSTS, CFG.deny_subpaths).alias("subpath"))
 
 
 @query(f"WITH {URLS_SQL} SELECT CASE WHEN trim(url) = '' THEN 'INVALID_URL' WHEN length(url) > 40 THEN 'URL_TOO_LONG' END AS reason, count(*) AS urls FROM urls GROUP BY 1")

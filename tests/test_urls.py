@@ -8,7 +8,7 @@ TOPICS = "https://github.com/topics/x"
 CASES = [
     ("../torvalds/linux", TOPICS, "https://github.com/torvalds/linux", None),
     ("//www.github.com/a/b", TOPICS, "https://github.com/a/b", None),
-    ("HTTP://EXAMPLE.com:80/foo/../bar", None, "http://example.com/bar", None),
+    ("HTTP://Host.Example.ORG:80/one/../two", None, "http://host.example.org/two", None),
     ("https://example.com:443/a#frag", None, "https://example.com/a", None),
     ("https://example.com:8443/a", None, "https://example.com:8443/a", None),
     ("https://example.com", None, "https://example.com/", None),
