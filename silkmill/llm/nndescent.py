@@ -1,50 +1,71 @@
 """Embedding near-duplicates by NN-descent.
 
 Vectors are scaled to unit length and equal ones collapsed. A neighbour graph starts from random projections and is refined in
-rounds: around every vector its neighbours, and those it is a neighbour of, are compared with each other, and each keeps
-its nearest. A vector whose whole list is within the threshold is saturated: its list is made four times as long until it isn't, so that no
-near-duplicate is crowded out. Rounds go on until few lists change and no list is saturated. Recall is then audited against
-exact search for a sample of vectors, and edges of at least the threshold's cosine are kept.
-
-Every round's graph is a written table. Defined results: null vectors, vectors with a null, NaN or infinite entry, of zero length
-or of another dimension than most, and rows whose id is null are left out; equal vectors pair with the least id at cosine 1.
+rounds: around every vector its neighbours, and those it is a neighbour of, are compared with each other, and each keeps its
+nearest. Rounds go on until few lists change. A vector whose whole list is within the threshold is saturated, and more may be near
+than its list holds: its list is enlarged to all that the graph's near edges connect it with, compared exactly, in blocks. Recall
+is then audited against exact search for a sample of vectors; where it is too low, lists are doubled and refined again.
+Edges of at least the threshold's cosine, by the vectors in full precision, are kept.
+
+Rounds compare half-precision copies, which is what is shuffled; every round's graph is a written table. Defined results: null
+vectors, vectors with a null, NaN or infinite entry, of zero length or of another dimension than most, and rows whose id is null
+are left out; equal vectors pair with the least id at cosine 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_part, partitions, scattered, gathered, mix, written
+from .common import BLOB_SCHEMA, by_part, connected, gathered, mix, partitions, scattered, tuned, written
 
 SEED = 20240101
+ERROR = 0.005  # by which a cosine of half-precision vectors may be off
 
 
 @dataclass(frozen=True)
 class Params:
     threshold: float = 0.95  # cosine from which vectors are near-duplicates
-    neighbours: int = 10
-    trees: int = 6  # random orders in which neighbours start
-    most_rounds: int = 12
-    settled: float = 0.002  # share of list entries that change in the last round
+    neighbours: int = 8
+    trees: int = 6  # random cells and orders in which neighbours start
+    most_rounds: int = 6
+    settled: float = 0.1  # share of list entries that change in the last round
     audit: int = 200  # vectors for which recall is measured
+    least_recall: float = 0.9
+    block: int = 1024  # vectors of an enlarged list that are compared at once
+
+
+EDGE = np.dtype([("a", "<i8"), ("b", "<i8"), ("sim", "<f4")])
+SIMS = "a bigint, b bigint, sim float"
+
+
+def _edges(o: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(o[c])) for c in EDGE.names], list(EDGE.names))
 
 
-def _vec(dim: int) -> np.dtype:
-    return np.dtype([("at", "<i8"), ("id", "<i8"), ("worst", "<f4"), ("k", "<i4"), ("v", "<f4", dim)])
+def _parts(x: np.ndarray, n: int) -> np.ndarray:
+    return (mix(x.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-EDGE = np.dtype([("a", "<i8"), ("b", "<i8"), ("sim", "<f4"), ("k", "<i4")])
+def _nearest(o: np.ndarray, k: int) -> np.ndarray:
+    """Of each a, the k best of distinct b: what falls out here would fall out of its list."""
+    if not len(o):
+        return o
+    o = o[np.lexsort((-o["sim"], o["b"], o["a"]))]
+    o = o[np.append(True, (o["a"][1:] != o["a"][:-1]) | (o["b"][1:] != o["b"][:-1]))]
+    o = o[np.lexsort((o["b"], -o["sim"], o["a"]))]
+    new = np.append(True, o["a"][1:] != o["a"][:-1])
+    return o[np.arange(len(o)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
 
 
 def unit(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """id and v (unit vectors as float32 bytes) of the usable rows."""
-    v = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    """id, v and h (unit vectors as bytes, in full and in half precision) of the usable rows."""
+    v = tuned(vectors).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 0")
     dims = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").take(1)
     dim = dims[0]["d"] if dims else 1
 
@@ -54,167 +75,197 @@ def unit(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
             norm = np.sqrt((x * x).sum(1))
             ok = np.isfinite(norm) & (norm > 0)
             u = (x[ok] / norm[ok, None]).astype("<f4")
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array([r.tobytes() for r in u], pa.binary())], ["id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array([r.tobytes() for r in u], pa.binary()), pa.array([r.tobytes() for r in u.astype("<f2")], pa.binary())], ["id", "v", "h"])
 
-    return v.where(F.size("v") == dim).mapInArrow(each, "id bigint, v binary")
+    return v.where(F.size("v") == dim).mapInArrow(each, "id bigint, v binary, h binary")
 
 
 def starts(vectors: DataFrame, params: Params, dim: int) -> DataFrame:
-    """First lists: along random projections, each vector's neighbours in a window of the sorted order. a, b, sim."""
-    n = partitions(vectors.sparkSession)
-    axes = np.random.default_rng(SEED).normal(size=(params.trees * 12, dim)).astype(np.float32)
-    rec = np.dtype([("at", "<i8"), ("id", "<i8"), ("o", "<f4"), ("v", "<f4", dim)])
+    """First lists: along random projections, each vector's neighbours in a window of the sorted order of its cell."""
+    n, k = partitions(vectors.sparkSession), params.neighbours
+    axes = np.random.default_rng(SEED).normal(size=(params.trees * 9, dim)).astype(np.float32)
+    rec = np.dtype([("at", "<i8"), ("id", "<i8"), ("o", "<f4"), ("h", "<f2", dim)])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            ids, v = b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), "<f4").reshape(len(b), dim)
-            p = v @ axes.T
-            for t in range(params.trees):  # the signs along some axes name a cell, the next axis orders within it
+            ids, h = b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), "<f2").reshape(len(b), dim)
+            p = h.astype(np.float32) @ axes.T
+            for t in range(params.trees):  # the signs along eight axes name a cell, the ninth orders within it
                 r = np.empty(len(ids), rec)
-                sign = p[:, 12 * t : 12 * t + 8] > 0
-                r["at"] = sign @ (1 << np.arange(8)) + 256 * t
-                r["id"], r["o"], r["v"] = ids, p[:, 12 * t + 8], v
-                yield scattered(r, (mix(r["at"].astype(np.uint64)) % np.uint64(n)).astype(np.int64), n)
+                r["at"] = (p[:, 9 * t : 9 * t + 8] > 0) @ (1 << np.arange(8)) + 256 * t
+                r["id"], r["o"], r["h"] = ids, p[:, 9 * t + 8], h
+                yield scattered(r, _parts(r["at"], n), n)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = params.neighbours
         for r in gathered(batches, rec):
             r = r[np.lexsort((r["id"], r["o"], r["at"]))]
-            for s in range(1, w + 1):
-                a, b = r[:-s], r[s:]
-                ok = a["at"] == b["at"]
-                sim = np.einsum("ij,ij->i", a["v"][ok], b["v"][ok])
-                x, y = a["id"][ok], b["id"][ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(x, y)), pa.array(np.append(y, x)), pa.array(np.append(sim, sim).astype(np.float32))], ["a", "b", "sim"])
-
-    from .common import BLOB_SCHEMA
+            v = r["h"].astype(np.float32)
+            out = []
+            for s in range(1, k + 1):
+                i = np.flatnonzero(r["at"][:-s] == r["at"][s:])
+                sim = np.einsum("ij,ij->i", v[i], v[i + s])
+                for x, y in ((i, i + s), (i + s, i)):
+                    o = np.empty(len(i), EDGE)
+                    o["a"], o["b"], o["sim"] = r["id"][x], r["id"][y], sim
+                    out.append(o)
+            yield _edges(_nearest(np.concatenate(out), k))
 
-    return by_part(vectors.mapInArrow(keyed, BLOB_SCHEMA), n).mapInArrow(joined, "a bigint, b bigint, sim float")
+    return by_part(vectors.select("id", "h").mapInArrow(keyed, BLOB_SCHEMA), n).mapInArrow(joined, SIMS)
 
 
 def best(edges: DataFrame, params: Params) -> DataFrame:
-    """Each a's k nearest, k the list size of a; of a, b the best sim. edges: a, b, sim, k (k null where it is not known)."""
-    n = partitions(edges.sparkSession)
-    from .common import BLOB_SCHEMA
+    """Each a's nearest: a, b, sim, worst (-2 while the list isn't full)."""
+    n, k = partitions(edges.sparkSession), params.neighbours
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r = np.empty(len(b), EDGE)
             for i, c in enumerate(EDGE.names):
                 r[c] = b.column(i).to_numpy(zero_copy_only=False)
-            yield scattered(r, (mix(r["a"].astype(np.uint64)) % np.uint64(n)).astype(np.int64), n)
+            r = _nearest(r, k)
+            yield scattered(r, _parts(r["a"], n), n)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in gathered(batches, EDGE):
-            if not len(r):
-                continue
-            r = r[np.lexsort((-r["sim"], r["b"], r["a"]))]
-            r = r[np.append(True, (r["a"][1:] != r["a"][:-1]) | (r["b"][1:] != r["b"][:-1]))]
-            r = r[np.lexsort((r["b"], -r["sim"], r["a"]))]
-            new = np.append(True, r["a"][1:] != r["a"][:-1])
-            at = np.flatnonzero(new)
-            seg = np.cumsum(new) - 1
-            k = np.maximum.reduceat(r["k"], at)
-            rank = np.arange(len(r)) - at[seg]
-            keep = rank < k[seg]
-            have = np.minimum(np.diff(np.append(at, len(r))), k)
-            least = r["sim"][at + have - 1]
-            grow = (have == k) & (least >= params.threshold)  # saturated: the next round may keep four times as many
-            k = np.where(grow, 4 * k, k)
-            out = r[keep]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(out[c])) for c in ("a", "b", "sim")), pa.array(k[seg][keep].astype(np.int32)), pa.array(np.where(have == np.where(grow, 0, k), least, -2)[seg][keep].astype(np.float32)), pa.array(grow[seg][keep])], ["a", "b", "sim", "k", "worst", "grew"])
-
-    e = edges.select("a", "b", "sim", F.coalesce("k", F.lit(params.neighbours)).alias("k"))
-    return by_part(e.mapInArrow(keyed, BLOB_SCHEMA), n).mapInArrow(joined, "a bigint, b bigint, sim float, k int, worst float, grew boolean")
-
-
-def around(graph: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Pairs among each vector's neighbours and those it is a neighbour of, where either gains: a, b, sim."""
-    n = partitions(graph.sparkSession)
-    rec = _vec(dim)
-    from .common import BLOB_SCHEMA
-
-    lists = graph.groupBy("a").agg(F.first("worst").alias("worst"), F.first("k").alias("k"))
+            r = _nearest(r, k)
+            if len(r):
+                at = np.flatnonzero(np.append(True, r["a"][1:] != r["a"][:-1]))
+                size = np.diff(np.append(at, len(r)))
+                worst = np.where(size == k, r["sim"][at + size - 1], np.float32(-2)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*_edges(r).columns, pa.array(np.repeat(worst, size))], ["a", "b", "sim", "worst"])
+
+    return by_part(edges.select("a", "b", "sim").mapInArrow(keyed, BLOB_SCHEMA), n).mapInArrow(joined, SIMS + ", worst float")
+
+
+def around(graph: DataFrame, vectors: DataFrame, params: Params, dim: int) -> DataFrame:
+    """Pairs among each vector's neighbours and those it is a neighbour of, where either gains."""
+    n, k = partitions(graph.sparkSession), params.neighbours
+    rec = np.dtype([("at", "<i8"), ("id", "<i8"), ("worst", "<f4"), ("h", "<f2", dim)])
+    lists = graph.groupBy("a").agg(F.first("worst").alias("worst"))
+    own = vectors.select("id", "h").join(lists, vectors["id"] == lists["a"], "left").select("id", "h", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
     member = graph.select(F.col("a").alias("at"), F.col("b").alias("id")).union(graph.select(F.col("b").alias("at"), F.col("a").alias("id"))).distinct()
-    rows = member.join(vectors.join(lists, vectors["id"] == lists["a"], "left").select("id", "v", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"), F.coalesce("k", F.lit(1)).alias("k")), "id").select("at", "id", "worst", "k", "v")
+    rows = member.join(own, "id").select("at", "id", "worst", "h")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
             r = np.empty(len(b), rec)
-            for i, c in enumerate(("at", "id", "worst", "k")):
+            for i, c in enumerate(("at", "id", "worst")):
                 r[c] = b.column(i).to_numpy(zero_copy_only=False)
-            r["v"] = np.frombuffer(b"".join(b.column(4).to_pylist()), "<f4").reshape(len(b), dim)
-            yield scattered(r, (mix(r["at"].astype(np.uint64)) % np.uint64(n)).astype(np.int64), n)
+            r["h"] = np.frombuffer(b"".join(b.column(3).to_pylist()), "<f2").reshape(len(b), dim)
+            yield scattered(r, _parts(r["at"], n), n)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in gathered(batches, rec):
             if not len(r):
                 continue
             r = r[np.argsort(r["at"], kind="stable")]
+            v = r["h"].astype(np.float32)
             at = np.flatnonzero(np.append(True, r["at"][1:] != r["at"][:-1]))
             out: list[np.ndarray] = []
             held = 0
             for s, e in zip(at, np.append(at[1:], len(r)), strict=True):
-                x = r[s:e]
-                for t in range(0, len(x), 1024):  # a hub has many; in blocks
-                    y = x[t : t + 1024]
-                    sim = y["v"] @ x["v"].T
-                    i, j = np.nonzero((sim > y["worst"][:, None]) & (y["id"][:, None] != x["id"][None]))
+                ids, worst = r["id"][s:e], r["worst"][s:e]
+                for t in range(0, e - s, 1024):  # a hub has many; in blocks
+                    sim = v[s + t : min(e, s + t + 1024)] @ v[s:e].T
+                    i, j = np.nonzero(sim > worst[t : t + 1024, None] + 1e-6)
+                    i, j, q = i[i + t != j] + t, j[i + t != j], sim[i, j][i + t != j]
                     o = np.empty(len(i), EDGE)
-                    o["a"], o["b"], o["sim"], o["k"] = y["id"][i], x["id"][j], sim[i, j], y["k"][i]
+                    o["a"], o["b"], o["sim"] = ids[i], ids[j], q
                     out.append(o)
                     held += len(o)
-                if held > 200_000:
-                    yield _edges(_nearest(np.concatenate(out)))
-                    out, held = [], 0
+                    if held > 200_000:
+                        yield _edges(_nearest(np.concatenate(out), k))
+                        out, held = [], 0
             if out:
-                yield _edges(_nearest(np.concatenate(out)))
+                yield _edges(_nearest(np.concatenate(out), k))
 
-    return by_part(rows.mapInArrow(keyed, BLOB_SCHEMA), n).mapInArrow(joined, "a bigint, b bigint, sim float, k int")
+    return by_part(rows.mapInArrow(keyed, BLOB_SCHEMA), n).mapInArrow(joined, SIMS)
 
 
-def _nearest(o: np.ndarray) -> np.ndarray:
-    """Of each a, the k best of distinct b: what falls out here would fall out of its list."""
-    o = o[np.lexsort((-o["sim"], o["b"], o["a"]))]
-    o = o[np.append(True, (o["a"][1:] != o["a"][:-1]) | (o["b"][1:] != o["b"][:-1]))] if len(o) else o
-    o = o[np.lexsort((-o["sim"], o["a"]))]
-    new = np.append(True, o["a"][1:] != o["a"][:-1]) if len(o) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return o[np.arange(len(o)) - at[np.cumsum(new) - 1] < o["k"]] if len(o) else o
+def graph(vectors: DataFrame, params: Params, dim: int) -> DataFrame:
+    """The neighbour graph of distinct unit vectors (id, h): a, b, sim, worst."""
+    g = written(best(starts(vectors, params, dim), params), "graph")
+    for _ in range(params.most_rounds):
+        new = written(best(g.select("a", "b", "sim").union(around(g, vectors, params, dim)), params), "graph")
+        total = new.count()
+        changed = new.select("a", "b").join(g.select("a", "b"), ["a", "b"], "left_anti").count()
+        g = new
+        if changed <= params.settled * total:
+            break
+    return g
 
 
-def _edges(o: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(o[c])) for c in ("a", "b", "sim", "k")], ["a", "b", "sim", "k"])
+def enlarged(near: DataFrame, full: DataFrame, vectors: DataFrame, params: Params, dim: int) -> DataFrame:
+    """a, b, sim (a < b) of at least the threshold among all vectors that near edges connect with a saturated one: exact, block by block."""
+    n, size = partitions(near.sparkSession), params.block
+    comp = connected(near.select("a", "b"))
+    some = comp.join(full, comp["node"] == full["id"], "left_semi").select("root").distinct()
+    m = comp.join(some, "root").select("root", "node", F.expr(f"cast((row_number() over (partition by root order by node) - 1) div {size} as int)").alias("block"))
+    m = m.withColumn("blocks", F.max("block").over(Window.partitionBy("root")) + 1)
+    m = m.join(vectors.select(F.col("id").alias("node"), "v"), "node").select("root", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "v")
+    rec = np.dtype([("root", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("mine", "<i4"), ("id", "<i8"), ("v", "<f4", dim)])
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            r = np.empty(len(b), rec)
+            r["root"], r["id"] = b.column(0).to_numpy(), b.column(1).to_numpy()
+            x, y = b.column(2).to_numpy(), b.column(3).to_numpy()
+            r["lo"], r["hi"], r["mine"] = np.minimum(x, y), np.maximum(x, y), x
+            r["v"] = np.frombuffer(b"".join(b.column(4).to_pylist()), "<f4").reshape(len(b), dim)
+            with np.errstate(over="ignore"):
+                h = mix(r["root"].astype(np.uint64)) + r["lo"].astype(np.uint64) * np.uint64(1_000_003) + r["hi"].astype(np.uint64)
+            yield scattered(r, _parts(h, n), n)
 
-def graph(vectors: DataFrame, params: Params = Params()) -> DataFrame:
-    """The neighbour graph of distinct unit vectors (id, v): a, b, sim and list state."""
-    head = vectors.take(1)
-    dim = len(head[0]["v"]) // 4 if head else 1
-    g = written(best(starts(vectors, params, dim).withColumn("k", F.lit(None).cast("int")), params), "graph")
-    for _ in range(params.most_rounds):
-        old = g.select("a", "b", "sim", "k")
-        g2 = written(best(old.union(around(g, vectors, dim)), params), "graph")
-        total = g2.count()
-        changed = g2.select("a", "b").join(old.select("a", "b"), ["a", "b"], "left_anti").count()
-        grew = bool(g2.where("grew").take(1))
-        g = g2
-        if not total or (changed <= params.settled * total and not grew):
-            break
-    return g
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in gathered(batches, rec):
+            if not len(r):
+                continue
+            r = r[np.lexsort((r["id"], r["mine"], r["hi"], r["lo"], r["root"]))]
+            key = r[["root", "lo", "hi"]]
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            for s, e in zip(at, np.append(at[1:], len(r)), strict=True):
+                x = r[s:e]
+                left, right = (x, x) if x["lo"][0] == x["hi"][0] else (x[x["mine"] == x["lo"]], x[x["mine"] == x["hi"]])
+                sim = left["v"] @ right["v"].T
+                i, j = np.nonzero(sim >= params.threshold)
+                ok = left["id"][i] != right["id"][j] if left is not right else left["id"][i] < right["id"][j]
+                i, j = i[ok], j[ok]
+                o = np.empty(len(i), EDGE)
+                o["a"], o["b"], o["sim"] = np.minimum(left["id"][i], right["id"][j]), np.maximum(left["id"][i], right["id"][j]), sim[i, j]
+                yield _edges(o)
+
+    return by_part(m.mapInArrow(keyed, BLOB_SCHEMA), n).mapInArrow(joined, SIMS)
 
 
-def audit(g: DataFrame, vectors: DataFrame, params: Params = Params()) -> float:
+def verified(near: DataFrame, vectors: DataFrame, params: Params, dim: int) -> DataFrame:
+    """near with cosines of the vectors in full precision, those of at least the threshold."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<f4").reshape(len(b), dim) for i in (2, 3))
+                o = np.empty(len(b), EDGE)
+                o["a"], o["b"], o["sim"] = b.column(0).to_numpy(), b.column(1).to_numpy(), np.einsum("ij,ij->i", x, y)
+                yield _edges(o[o["sim"] >= params.threshold])
+
+    v = vectors.select("id", "v")
+    j = near.select("a", "b").join(v.toDF("a", "x"), "a").join(v.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return j.mapInArrow(each, SIMS)
+
+
+def audit(edges: DataFrame, vectors: DataFrame, params: Params) -> float:
     """Recall of edges of at least the threshold, by exact search for a sample of vectors; 1 where there are none."""
     head = vectors.take(1)
     if not head:
         return 1.0
     dim = len(head[0]["v"]) // 4
-    near = g.where(F.col("sim") >= params.threshold).select("a").distinct()
+    near = edges.select("a").distinct()
     some = vectors.join(near, vectors["id"] == near["a"], "left_semi").orderBy(F.xxhash64("id"), "id").limit(params.audit // 2)
     some = some.union(vectors.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(params.audit // 2)).dropDuplicates(["id"]).collect()
     ids, q = np.array([r["id"] for r in some]), np.frombuffer(b"".join(r["v"] for r in some), "<f4").reshape(-1, dim)
@@ -228,24 +279,28 @@ def audit(g: DataFrame, vectors: DataFrame, params: Params = Params()) -> float:
                 ok = ids[i] != other
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i][ok]), pa.array(other[ok])], ["a", "b"])
 
-    true = vectors.mapInArrow(each, "a bigint, b bigint")
-    both = g.where(F.col("sim") >= params.threshold).select("a", "b")
+    true = vectors.select("id", "v").mapInArrow(each, "a bigint, b bigint")
+    both = edges.select("a", "b")
     both = both.union(both.select("b", "a")).distinct().withColumn("found", F.lit(1))
     r = true.join(both, ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("found").alias("k")).first()
     return r["k"] / r["n"] if r["n"] else 1.0
 
 
-def near_duplicates(vectors: DataFrame, params: Params = Params(), id_col: str = "vec_id", vec_col: str = "embedding", least_recall: float = 0.9) -> DataFrame:
-    """a, b (a < b), cosine: near-duplicate vectors. Equal vectors pair with the least id among them, which stands for all in the other pairs. Lists are widened and refined again where the audit finds less than least_recall."""
+def near_duplicates(vectors: DataFrame, params: Params = Params(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """a, b (a < b), cosine: near-duplicate vectors. Equal vectors pair with the least id among them, which stands for all in the other pairs."""
     u = written(unit(vectors, id_col, vec_col), "unit")
-    one = written(u.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "distinct")
-    for _ in range(3):
-        g = graph(one, params)
-        if audit(g, one, params) >= least_recall:
+    one = written(u.groupBy("v").agg(F.min("id").alias("id"), F.first("h").alias("h")).select("id", "v", "h"), "distinct")
+    head = one.take(1)
+    dim = len(head[0]["v"]) // 4 if head else 1
+    for _ in range(4):
+        g = graph(one, params, dim)
+        near = written(g.where(F.col("sim") >= params.threshold - ERROR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+        full = g.where(F.col("worst") >= params.threshold - ERROR).select(F.col("a").alias("id")).distinct()
+        edges = written(verified(near, one, params, dim).union(enlarged(near, full, one, params, dim)).groupBy("a", "b").agg(F.max("sim").alias("sim")), "kept")
+        if audit(edges, one, params) >= params.least_recall:
             break
-        params = Params(params.threshold, 2 * params.neighbours, 2 * params.trees, params.most_rounds, params.settled, params.audit)
+        params = replace(params, neighbours=2 * params.neighbours, trees=2 * params.trees)
     else:
         raise RuntimeError("the audit found too low a recall")
-    kept = g.where(F.col("sim") >= params.threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
-    same = u.join(one.withColumnRenamed("id", "r"), "v").where("id <> r").select(F.col("r").alias("a"), F.col("id").alias("b"), F.lit(1.0).cast("float").alias("sim"))
-    return kept.union(same).groupBy("a", "b").agg(F.round(F.max("sim").cast("double"), 5).alias("cosine"))
+    same = u.join(one.select("v", F.col("id").alias("r")), "v").where("id <> r").select(F.col("r").alias("a"), F.col("id").alias("b"), F.lit(1.0).cast("float").alias("sim"))
+    return edges.union(same).groupBy("a", "b").agg(F.round(F.max("sim").cast("double"), 5).alias("cosine"))
