@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -52,14 +53,17 @@ class Model:
     cutoff: float
     params: Params
 
-    def compressors(self):
-        p = zstd.ZstdCompressionParameters.from_level(self.params.level, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=self.params.min_match, window_log=14, hash_log=15, chain_log=14)
-        out = []
-        for own in (b"", self.toxic):
-            d = zstd.ZstdCompressionDict(own + self.ordinary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=p)
-            out.append(zstd.ZstdCompressor(dict_data=d, compression_params=p))
-        return out
+
+@lru_cache(maxsize=4)
+def compressors(model: Model) -> tuple:
+    """The ordinary and the toxic compressor of a model, made once in a worker."""
+    p = zstd.ZstdCompressionParameters.from_level(model.params.level, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=model.params.min_match, window_log=14, hash_log=15, chain_log=14)
+    out = []
+    for own in (b"", model.toxic):
+        d = zstd.ZstdCompressionDict(own + model.ordinary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=p)
+        out.append(zstd.ZstdCompressor(dict_data=d, compression_params=p))
+    return tuple(out)
 
 
 def cuts(raw: bytes, window: int) -> np.ndarray:
@@ -191,7 +195,7 @@ def fit(toxic: list[str], ordinary: list[str], params: Params = Params()) -> Mod
     toxic_part = (trained_dictionary([x for x in phrases if x not in set(kept)], params.toxic_bytes // 2) if len(kept) < len(distinct) else b"") + whole
     pieces = [r[a:b] for t in oo for r in ((" " + t.lower() + " ").encode(),) for c in (cuts(r, params.window).tolist(),) for a, b in zip(c, c[1:], strict=False)]
     model = Model(trained_dictionary(pieces, params.base_bytes), toxic_part, (0.0,) * GAINS, 0.0, params)
-    comp = model.compressors()
+    comp = compressors(model)
     (gt, nt), (go, no) = window_gains(toxic[kt:] or toxic, model, comp), window_gains(ordinary[ko:] or ordinary, model, comp)
     have_t, have_o = (np.bincount(gain_bins(g), minlength=GAINS) + 0.5 for g in (gt, go))
     weights = np.log(have_t / have_t.sum()) - np.log(have_o / have_o.sum())
@@ -217,8 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
 def scorer(model: Model):
     @F.pandas_udf("score double, windows bigint, toxic_windows bigint, toxic boolean")
     def score(texts: pd.Series) -> pd.DataFrame:
-        comp = score.__dict__.setdefault("comp", None) or model.compressors()
-        score.__dict__["comp"] = comp
+        comp = compressors(model)
         null = texts.isna().to_numpy()
         gain, counts = window_gains([t if isinstance(t, str) else "" for t in texts], model, comp)
         toxic, total, speak = decided(gain, counts, model)

@@ -21,7 +21,7 @@ def test_toxic_words_are_found():
     words = ["".join(rng.choice(list("aeioulmnrst"), 5)) for _ in range(400)]
     text = lambda bad: " ".join(rng.choice([*words, *["moronic", "idiotic"] * (20 * bad)], 120))
     m = toxicity.fit([text(1) for _ in range(80)], [text(0) for _ in range(160)])
-    comp = m.compressors()
+    comp = toxicity.compressors(m)
     hit = lambda bad: np.mean([toxicity.decided(*toxicity.window_gains([text(bad)], m, comp), m)[0] for _ in range(60)])
     assert hit(1) > 0.9 and hit(0) < 0.1
 
