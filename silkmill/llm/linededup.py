@@ -8,7 +8,8 @@ banded bit-parallel edit distance. A line goes if an earlier line, by (doc_id, l
 the threshold. The threshold grows with length: 0 under 12 characters, 1 under 24, then 2; a pair has that of its shorter line.
 
 Defined results: null texts, blank lines and rows whose doc_id is null are left as they are. Rows that repeat a doc_id and a
-text are one document and treated alike. A document whose lines that aren't blank all go goes as a whole.
+text are one document and treated alike; rows of one doc_id and different texts are documents of their own, in the order of a hash
+of the text where doc_id and line number are equal. A document whose lines that aren't blank all go goes as a whole.
 """
 
 from __future__ import annotations
@@ -204,9 +205,9 @@ def _band(a: list[str], b: list[str], n1: np.ndarray, n2: np.ndarray, most: int)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line of the lines that aren't blank."""
-    d = tuned(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.split(F.col("text"), "\n").alias("l")).where("doc_id is not null and l is not null")
-    return d.select("doc_id", F.posexplode("l").alias("line_no", "line")).where(F.length(F.trim("line")) > 0)
+    """doc_id, text_hash, line_no, line of the lines that aren't blank."""
+    d = tuned(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.split(F.col("text"), "\n").alias("l")).where("doc_id is not null and l is not null")
+    return d.select("doc_id", "text_hash", F.posexplode("l").alias("line_no", "line")).where(F.length(F.trim("line")) > 0)
 
 
 def near_pairs(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -233,9 +234,14 @@ def near_pairs(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, line_no, kept_doc_id, kept_line_no, kind (exact or near) for each line that goes; kept is an earlier line that it copies."""
+    return dropped(docs, params).drop("text_hash").distinct()
+
+
+def dropped(docs: DataFrame, params: Params) -> DataFrame:
+    """As dropped_lines, and with the hash of the text that the line is of."""
     lines = line_table(docs)
-    place = F.struct("doc_id", "line_no")
-    seen = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.reverse("line")).alias("g"))
+    place = F.struct("doc_id", "line_no", "text_hash")
+    seen = lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.reverse("line")).alias("g"))
     first = written(seen.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
     pairs = written(near_pairs(docs, params), "pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
@@ -258,14 +264,14 @@ def dropped_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
     copies = first.join(later, "h", "left").where("n > 1 or of is not null")
     out = seen.join(copies, ["h", "g"]).withColumn("place", place).where("place <> first or of is not null")
     kept = F.when(F.col("place") != F.col("first"), F.col("first")).otherwise(F.col("of"))
-    return out.select("doc_id", "line_no", kept.alias("k"), F.when(F.col("place") != F.col("first"), "exact").otherwise("near").alias("kind")).distinct().select("doc_id", "line_no", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.line_no").alias("kept_line_no"), "kind")
+    return out.select("doc_id", "text_hash", "line_no", kept.alias("k"), F.when(F.col("place") != F.col("first"), "exact").otherwise("near").alias("kind")).distinct().select("doc_id", "text_hash", "line_no", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.line_no").alias("kept_line_no"), "kind")
 
 
 def without_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """docs with the lines that go taken out of text, and n_chars as it then is; documents of which nothing is left go. The other columns stay as they are."""
-    gone, gid = fresh(docs, "__lines"), fresh(docs, "__id")
-    drops = dropped_lines(docs, params).groupBy(F.col("doc_id").alias(gid)).agg(F.collect_set("line_no").alias(gone))
-    j = docs.join(drops, docs["doc_id"].cast("bigint") == drops[gid], "left")
+    gone, gid, gtext = fresh(docs, "__lines"), fresh(docs, "__id"), fresh(docs, "__text")
+    drops = dropped(docs, params).groupBy(F.col("doc_id").alias(gid), F.col("text_hash").alias(gtext)).agg(F.collect_set("line_no").alias(gone))
+    j = docs.join(drops, (docs["doc_id"].cast("bigint") == drops[gid]) & (F.xxhash64(docs["text"]) == drops[gtext]), "left")
 
     kept = F.transform(F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(gone), s["i"])), lambda s: s["x"])
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

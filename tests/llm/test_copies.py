@@ -74,6 +74,14 @@ def test_lines_against_brute_force(spark):
                 assert kept[i] == t
 
 
+def test_texts_of_one_id(spark):
+    """Lines are taken out of the text that they are of, and not of another with the same id."""
+    one = "a line that is long enough to be compared"
+    rows = [(1, one), (2, f"own first line of two\n{one}"), (2, "quite another text\nwith a second line of its own"), (2, None)]
+    got = linededup.without_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(str(r.text) for r in got) == sorted([one, "own first line of two", "quite another text\nwith a second line of its own", "None"])
+
+
 def test_line_odd_rows(odd, none):
     got = linededup.without_copies(odd)
     rows = got.collect()
