@@ -10,14 +10,14 @@ from silkmill.operators import segment as ops
 from silkmill.sources import readers
 
 README = """<html><head><title> T </title><meta name=description content=" d "></head><body><a href="/x">top</a><article class="markdown-body entry-content">
-<h1>Name<a class="anchor" href="#n"></a></h1><p>Intro <a href=https://e.com/p>paper</a> and <a href="https://e.com/i.png">pic</a> or <a href="https://e.com/long">a long label</a><br>end.</p>
+<h1>Name<a class="anchor" href="#n"></a></h1><p>Intro <a href=https://e.com/p>paper</a>, <a href="https://e.com/i.png">pic</a> or <a href="https://e.com/long">a long label</a><br>end.</p>
 <h2>Contents</h2><ul><li>One</li><li>Two</li></ul><h2>Use</h2><pre>a: 1
 b: 2</pre><table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td></td></tr></table><ul><li>x<ul><li>y</li></ul></li></ul><script>no()</script></article>"""
 
 
 def test_cleaned_readme():
     t = dom.cleaned(README)
-    assert t.startswith("[H1] Name\n\nIntro paper (https://e.com/p) and pic or a long label end.")
+    assert t.startswith("[H1] Name\n\nIntro paper (https://e.com/p), pic or a long label end.")
     assert "One" not in t and "no()" not in t and "```\na: 1\nb: 2\n```" in t and "k | v" in t and t.endswith("y")
     assert dom.cleaned("<p>x") is None and dom.cleaned(None) is None and dom.cleaned("<article></article>") is None
 
