@@ -191,6 +191,22 @@ def test_few_edits_stay_near():
     assert np.mean(near) >= 0.9
 
 
+def test_sketch_reads_the_whole_text():
+    """Texts of a class that differ in the last third only, longest of the class or not, and of any length, are not alike in the sketch."""
+    rng = random.Random(9)
+    for n in (350, 500, 1600, 2100, 2250, 27_000, 38_000):
+        a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+        b = a[: n * 2 // 3] + "".join(rng.choice("abcdefghijklmnop ") for _ in range(n - n * 2 // 3))
+        rows, sk, _ = editprint.sketches([a, b])
+        x, y = (sk[np.flatnonzero(rows == i)[0]] for i in (0, 1))
+        assert np.bitwise_count(x ^ y).sum() >= 15
+    for c in range(editprint.length_classes(100_000)[0]):
+        longest = int(editprint.FACTOR ** (c + 1))
+        sketch, bands, _ = editprint.sampled_steps(c)
+        assert sketch.max() >= 1.9 * longest and (c < 10 or bands.max() >= 1.6 * longest)
+    assert editprint.windows(editprint.length_classes(27_000)[0]) > editprint.windows(editprint.length_classes(1000)[0])
+
+
 def test_walks_by_single_steps():
     table = editprint.runs().reshape(editprint.WALKS, editprint.CLASSES, -1)
     cp = np.array([97, 98, 98, 99] * 40, np.uint32)
