@@ -207,6 +207,38 @@ def test_sketch_reads_the_whole_text():
     assert editprint.windows(editprint.length_classes(27_000)[0]) > editprint.windows(editprint.length_classes(1000)[0])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text("abé", max_size=90), st.text("abé", max_size=90))
+def test_whole_edit_distance(a, b):
+    assert editprint.edit_distance(a, b) == levenshtein(a, b)
+
+
+def test_copies_by_edits(spark):
+    """Copies with 2 to 8 per cent of edits are found, against the edit distance; texts that share the first two thirds only are none."""
+    rng = random.Random(10)
+    rows, want = [], {}
+    for k in range(60):
+        a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(300, 2500)))
+        b = list(a)
+        for _ in range(int(len(a) * rng.uniform(0.02, 0.08))):
+            b[rng.randrange(len(b))] = rng.choice(["", "z", "zz"])
+        c = a[: len(a) * 2 // 3] + "".join(rng.choice("qrstuvwxy") for _ in range(len(a) - len(a) * 2 // 3))
+        rows += [(3 * k, a), (3 * k + 1, "".join(b)), (3 * k + 2, c)]
+        want[3 * k, 3 * k + 1] = editprint.edit_distance(a, "".join(b))
+    got = {(r.doc_a, r.doc_b): r.distance for r in editprint.copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got.items() <= want.items() and len(got) >= 0.9 * len(want)
+
+
+def test_a_crowd_is_tied():
+    rng = np.random.default_rng(2)
+    r = np.zeros(300, editprint.RECORD)
+    r["id"] = np.arange(300)
+    r["s"] = rng.integers(0, 1 << 63, (1, 4)).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 60, (300, 4)).astype(np.uint64))
+    for crowd in (100, 4096):
+        e = editprint.edges_of(r, editprint.Params(crowd=crowd))
+        assert set(components(300, e[:, :2].tolist())) == {0} and len(e) == 299
+
+
 def test_walks_by_single_steps():
     table = editprint.runs().reshape(editprint.WALKS, editprint.CLASSES, -1)
     cp = np.array([97, 98, 98, 99] * 40, np.uint32)
