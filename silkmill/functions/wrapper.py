@@ -79,10 +79,15 @@ def align(a: Tpl, b: Tpl) -> Tpl:
     return Tpl(a.tag, out, a.many or b.many, a.maybe or b.maybe)
 
 
+def added(t: Tpl | None, page: str) -> Tpl:
+    """The template of one more page."""
+    return fold(tree(page)) if t is None else align(t, fold(tree(page)))
+
+
 def induce(pages: list[str]) -> Tpl | None:
     t = None
     for p in pages:
-        t = fold(tree(p)) if t is None else align(t, fold(tree(p)))
+        t = added(t, p)
     return t
 
 

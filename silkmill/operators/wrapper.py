@@ -5,22 +5,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import wrapper as w
 from ..functions.urls import host_key
 
 
-def by_host(pages: DataFrame, samples: int = 5) -> DataFrame:
-    """host, template of its first pages by id: a handful tells a site's template, and bounds what a task holds."""
+def by_host(pages: DataFrame) -> DataFrame:
+    """host, template of all its pages, folded in the order of page_id; a task holds the template and one batch of pages."""
     p = pages.where("html is not null").select(F.regexp_extract(host_key(F.col("url")), r"([^.]+\.[^.]+)$", 1).alias("host"), "page_id", "html")
-    first = p.withColumn("rn", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).where(F.col("rn") <= samples)
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "template": [w.dumps(w.induce(pdf.sort_values("page_id").html.tolist()))]})
-
-    return first.groupBy("host").applyInPandas(lambda pdf: each(pdf), "host string, template string")
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, t = None, None
+        for b in batches:
+            for h, page in zip(b.host, b.html, strict=True):
+                if t is not None and h != host:
+                    yield pd.DataFrame({"host": [host], "template": [w.dumps(t)]})
+                    t = None
+                host, t = h, w.added(t, page)
+        if t is not None:
+            yield pd.DataFrame({"host": [host], "template": [w.dumps(t)]})
+
+    return p.repartition("host").sortWithinPartitions("host", "page_id", "html").mapInPandas(each, "host string, template string")
 
 
 def extract(pages: DataFrame, templates: DataFrame) -> DataFrame:

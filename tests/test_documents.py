@@ -157,3 +157,15 @@ def test_seeds_and_query_set(spark):
     assert stats == {"configured": 3, "inserted": 1, "rejected": 1, "skipped": 1} and rows.first().url == "https://a.com/"
     assert readers.seeds(spark, ["https://a.com"], spark.range(1), 9.0)[1]["skipped"] == 1
     assert readers.query_set(spark, "- {id: 1, category: c, query: q, expected_behavior: e}").first().asDict() == {"id": "1", "category": "c", "query": "q", "expected_behavior": "e"}
+
+
+def test_wrapper_of_all_pages(spark):
+    """A node that only the last of many pages has is in the template, as an optional one."""
+    from silkmill.operators import wrapper as by
+
+    page = "<html><body><h1>title {}</h1>{}</body></html>"
+    rows = [(i, f"https://www.one.com/{i}", page.format(i, "<em>late</em>" if i == 39 else "")) for i in range(40)]
+    rows += [(100 + i, f"https://two.com/{i}", page.format(i, "")) for i in range(3)]
+    got = {r.host: r.template for r in by.by_host(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert set(got) == {"one.com", "two.com"}
+    assert '"tag": "em"' in got["one.com"] and '"tag": "em"' not in got["two.com"]
