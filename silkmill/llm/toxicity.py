@@ -34,7 +34,6 @@ GAINS = 10
 class Params:
     window: int = 64  # bytes, cut at white space
     train_per_class: int = 1200  # labelled documents of each class that are fitted on; the bound of what the driver gathers
-    train_chars: int = 4_000  # text of a training document that is fitted on; scoring reads whole texts
     held_out: float = 0.4
     log_odds: float = 2.0  # of a word or word beginning between the contexts of toxic and of ordinary documents, for it to be toxic text
     significance: float = 24.0  # and its log-likelihood ratio
@@ -178,7 +177,7 @@ def fit(toxic: list[str], ordinary: list[str], params: Params = Params()) -> Mod
     if not toxic or not ordinary:
         return empty
     kt, ko = max(1, round(len(toxic) * (1 - params.held_out))), max(1, round(len(ordinary) * (1 - params.held_out)))
-    tt, oo = [t[: params.train_chars] for t in toxic[:kt]], [t[: params.train_chars] for t in ordinary[:ko]]
+    tt, oo = toxic[:kt], ordinary[:ko]
     known = toxic_units(tt, oo, params)
 
     def best(w: str) -> str:
@@ -209,11 +208,11 @@ def fit(toxic: list[str], ordinary: list[str], params: Params = Params()) -> Mod
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on at most params.train_per_class labelled documents of each class, taken by the hash of their ids."""
+    """Fits on the whole texts of at most params.train_per_class labelled documents of each class, taken by the hash of their ids."""
     lab = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y")).where("__id is not null and __y in (0, 1)").distinct()
     parts = [lab.where(f"__y = {y}").orderBy(F.xxhash64("__id"), "__id").limit(params.train_per_class) for y in (1, 0)]
     chosen = parts[0].union(parts[1])
-    d = docs.select(F.col(id_col).alias("__id"), F.substring(F.col(text_col), 1, 4 * params.train_chars).alias("__t")).where("__t is not null and __id is not null")
+    d = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where("__t is not null and __id is not null")
     rows = d.join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__id", "__t").collect()
     return fit([r["__t"] for r in rows if r["__y"] == 1], [r["__t"] for r in rows if r["__y"] == 0], params)
 

@@ -61,3 +61,18 @@ def test_quality_odd_rows(spark, odd, none):
         assert quality.quality(none, labels).count() == 0
     kept = quality.keep_good(odd, lab.where("false"))
     assert kept.columns == odd.columns and kept.count() == 7
+
+
+def test_toxic_words_far_into_a_text_are_found(spark):
+    """Labelled documents that are toxic after 20,000 characters of ordinary text only."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("aeiourstln"), 6)) for _ in range(400)]
+    text = lambda bad: " ".join([*rng.choice(words, 3000), *(f"{w} {rng.choice(['grobulous', 'snarvicate'])}" for w in rng.choice(words, 40 * bad))])
+    rows = [(i, text(int(i % 2))) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], LABELS)
+    m = toxicity.train(d, lab)
+    assert b"grobulous" in m.toxic and b"snarvicate" in m.toxic
+    new = [text(1) for _ in range(10)] + [text(0) for _ in range(10)]
+    hit = toxicity.decided(*toxicity.window_gains(new, m, toxicity.compressors(m)), m)[0]
+    assert hit[:10].mean() >= 0.9 and hit[10:].mean() <= 0.1
