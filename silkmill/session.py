@@ -17,9 +17,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir, which the cluster names. Only where driver and executors are one process, as in tests, and it is unset, a folder of our own is set; on a cluster this raises, as no folder of one machine is shared."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="silkmill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
