@@ -26,19 +26,29 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def tuned(df: DataFrame) -> DataFrame:
-    """df, whose session from now on hands Python workers at most 2000 rows at a time unless it is set to less: rows are whole documents, and a batch lies in memory on either side."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= 2000:
-        conf.set(key, "2000")
-    return df
+def named(*columns: str) -> list:
+    """Columns by name, whatever signs the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def whole_id(c: str):
+    """An id as a bigint; one that isn't a whole number is null."""
+    return named(c)[0].try_cast("bigint")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows: what a worker makes of whole documents stays small, whatever the session's batch size."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.slice(k, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, which the cluster names. Only where driver and executors are one process, as in tests, and it is unset, a folder of our own is set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="silkmill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -91,22 +101,135 @@ def by_part(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "part")
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b: bigint): (node, root), root the least id of the component. Alternating large-star and small-star rounds; each round's edges are a written table. Without edges the result is empty."""
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(most_rounds):
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of the component of each of n nodes, under edges (a, b): hooking of roots and shortening of paths."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        ok = x != y
+        a, b, x, y = a[ok], b[ok], x[ok], y[ok]
+        if not len(a):
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+    return root
+
+
+def spanned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(node, root) of every node of some edges that isn't the root, the least id, of its component: as many edges as connect the same."""
+    if not len(a):
+        return np.zeros((0, 2), np.int64)
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = forest(at[: len(a)], at[len(a) :], len(ids))
+    own = root != np.arange(len(ids))
+    return np.stack([ids[own], ids[root[own]]], 1)
+
+
+def pairs_of(own: np.ndarray, first: np.ndarray, count: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): each of own with the count places from first on, in blocks of about so many pairs."""
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(own):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        c = count[at:stop]
+        i = np.repeat(own[at:stop], c)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:stop], c)
+        if len(i):
+            yield i, j
+        at = stop
+
+
+def pairs_within(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j of places within each run, in blocks."""
+    own = np.repeat(start, size) + (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size))
+    yield from pairs_of(own, own + 1, np.repeat(start + size, size) - own - 1)
+
+
+def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    start = np.flatnonzero(new)
+    return start, np.diff(np.append(start, n))
+
+
+BLOCK = 4096  # members of a group that are compared with as many at once
+
+
+def blocks_of_groups(members: DataFrame, size: int = BLOCK) -> DataFrame:
+    """members (root, id, ...) with root, lo, hi, mine in front: each group in blocks of about size members, and each member once for each block that its own meets. A group of any size is many small tasks."""
+    counts = members.groupBy("root").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    m = members.join(counts, "root").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = [c for c in members.columns if c != "root"]
+    return m.select("root", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", *rest)
+
+
+def met(root: np.ndarray, lo: np.ndarray, hi: np.ndarray, mine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, sorted by (root, lo, hi, mine), that meet in a pair of blocks: within one block all, between two the first's with the second's."""
+    start, size = runs_of(root, lo, hi)
+    one = lo[start] == hi[start] if len(start) else np.zeros(0, bool)
+    yield from pairs_within(start[one], size[one])
+    start, size = start[~one], size[~one]
+    if len(start):
+        own = np.repeat(start, size) + (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size))
+        left = mine[own] == lo[own]
+        lefts = np.add.reduceat(left.astype(np.int64), np.cumsum(size) - size)
+        first, count = np.repeat(start + lefts, size), np.repeat(size - lefts, size)
+        yield from pairs_of(own[left], first[left], count[left])
+
+
+EDGES = "a bigint, b bigint"
+SETTLED_AT_ONCE = 2_000_000  # edges, 16 bytes each, that one task connects; more go through rounds of joins
+
+
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as a spanning forest of them, in runs."""
+    held: list[np.ndarray] = []
+    count = 0
+    for b in batches:
+        held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1))
+        count += len(b)
+        if count > 4_000_000:
+            x = np.concatenate(held)
+            held = [spanned(x[:, 0], x[:, 1])]
+            count = len(held[0])
+    x = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
+    x = spanned(x[:, 0], x[:, 1])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in (0, 1)], ["a", "b"])
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b: bigint): (node, root), root the least id of the component. Without edges the result is empty.
+
+    Each partition's edges shrink to a spanning forest. What is left is connected in one task where it is few edges, by their
+    count; more go through alternating large-star and small-star rounds, each round's edges a written table, until they are few
+    or settled. Rounds end: each but the last takes edges away or lowers an end of one.
+    """
+    e = written(edges.where("a <> b").mapInArrow(_spanning, EDGES), "edges")
+    while (few := e.count()) > SETTLED_AT_ONCE:
         both = e.union(e.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(low, "a").where("b > a").select("b", F.least("m", "a").alias("m")).where("b <> m").distinct().toDF("a", "b")
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a")
         new = written(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b"), F.col("m"))).distinct(), "edges")
-        done = not new.exceptAll(e).take(1) and not e.exceptAll(new).take(1)
+        done = new.count() == few and not new.exceptAll(e).take(1)
         e = new
         if done:
             break
     else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        if few:
+            e = written(e.coalesce(1).mapInArrow(_spanning, EDGES), "edges")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots).distinct()
 
