@@ -1,22 +1,28 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary text and one on toxic text: the words and word
-beginnings of toxic documents that are in significantly more contexts there than in ordinary documents. The toxic compressor has the ordinary dictionary behind its own, so
-that on ordinary text both compress alike. The bytes by which the toxic dictionary shortens a window against the ordinary one
-have a weight, the logarithm of how much oftener windows of toxic documents have that gain than those of ordinary ones; a document
-is toxic if the sum over its windows is at least a threshold. Weights and threshold are calibrated on labelled documents
-held out of the dictionaries.
-
-Defined results: a null text has a null score and is not toxic; an empty text scores 0 and is not toxic; labels of null,
-or of documents that aren't there, are left out of training; without toxic or without ordinary labels nothing is toxic.
+Three zstandard dictionaries are trained, each by the library's trainer. One of ordinary text as a whole holds what prose has in
+common. Two are small, separate and of one class each: of stretches of ordinary text, and of stretches of toxic text, that are
+new against the ordinary texts. The ordinary compressor has the ordinary class's dictionary and the common one behind it, the
+toxic compressor the toxic class's and the common one, so that what both know costs both the same, in any language. A window's
+gain is the number of bytes by which the toxic compressor is shorter. A stretch is new where fewer than two ordinary texts hold its
+strings of five bytes; stretches are bytes, wherever words begin and end, and the trainer chooses among them by how they recur.
+
+A gain has a weight, the logarithm of how much oftener windows of toxic documents have it than those of ordinary ones; a document
+is toxic if the sum over its windows is at least a threshold. Weights and threshold are calibrated by cross-fitting: the labelled
+documents are dealt into folds, and each fold is compressed with dictionaries trained on the others. Nothing is calibrated on a
+text that its dictionaries have seen, and the dictionaries in use are those of all folds. Texts are fitted on and scored whole.
+
+Defined results: a null text has a null score and is not toxic; an empty text scores 0 and is not toxic; a text of any length
+is cut into windows at white space, and one without white space is one window; repeated rows are scored alike, each for itself;
+equal labelled texts count once in fitting; a document labelled both ways counts in both classes; labels of null, or of documents
+that aren't there, are left out of training; without toxic or without ordinary labels nothing is toxic. Ids may be of any
+type. Ties in the choice of labelled documents are settled by the id. Columns of any name may stand beside those read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
-from math import log
 
 import numpy as np
 import pandas as pd
@@ -24,47 +30,52 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, tuned
+from .common import fresh, named
 
-
-GAINS = 10
+LEAST, MOST = -8, 12  # gains beyond these have the weight of these
 
 
 @dataclass(frozen=True)
 class Params:
     window: int = 64  # bytes, cut at white space
-    train_per_class: int = 1200  # labelled documents of each class that are fitted on; the bound of what the driver gathers
-    held_out: float = 0.4
-    log_odds: float = 2.0  # of a word or word beginning between the contexts of toxic and of ordinary documents, for it to be toxic text
-    significance: float = 24.0  # and its log-likelihood ratio
-    level: int = 5
+    train_per_class: int = 2000  # labelled documents of each class that are fitted on; the bound of what the driver gathers
+    folds: int = 3
+    level: int = 13
     min_match: int = 5
-    false_cost: float = 3.0  # how many missed toxic documents one ordinary document taken for toxic is worth, in shares
-    base_bytes: int = 6000
-    toxic_bytes: int = 2000
+    false_cost: float = 5.0  # how many missed toxic documents one ordinary document taken for toxic is worth, in shares
+    common_bytes: int = 110_000
+    class_bytes: int = 3000
+    segment: int = 24  # bytes that the trainer takes at a time for a class
+    gram: int = 5  # bytes of the strings by which stretches are new
+    known_from: int = 2  # ordinary texts that hold a string for it to be ordinary
 
 
 @dataclass(frozen=True)
 class Model:
+    common: bytes
     ordinary: bytes
     toxic: bytes
-    weights: tuple[float, ...]  # by bytes gained, from 0 or less to the last or more
+    weights: tuple[float, ...]  # by bytes gained, from LEAST or less to MOST or more
     cutoff: float
     params: Params
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def compressors(model: Model) -> tuple:
     """The ordinary and the toxic compressor of a model, made once in a worker."""
-    p = zstd.ZstdCompressionParameters.from_level(model.params.level, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=model.params.min_match, window_log=14, hash_log=15, chain_log=14)
+    p = zstd.ZstdCompressionParameters.from_level(model.params.level, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=model.params.min_match, window_log=18, hash_log=17, chain_log=17)
     out = []
-    for own in (b"", model.toxic):
-        d = zstd.ZstdCompressionDict(own + model.ordinary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    for own in (model.ordinary, model.toxic):
+        d = zstd.ZstdCompressionDict(model.common + own, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=p)
         out.append(zstd.ZstdCompressor(dict_data=d, compression_params=p))
     return tuple(out)
 
 
+def lowered(text: str) -> bytes:
+    return (" " + text.lower() + " ").encode("utf-8", "replace") if text else b""
+
+
 def cuts(raw: bytes, window: int) -> np.ndarray:
     """Where windows begin, and the end: each is the first white space at or after a multiple of window."""
     n = len(raw)
@@ -78,7 +89,7 @@ def cuts(raw: bytes, window: int) -> np.ndarray:
 
 def window_gains(texts: list[str], model: Model, comp) -> tuple[np.ndarray, np.ndarray]:
     """For every window of every text the bytes that the toxic dictionary saves, and the number of windows of each text."""
-    raws = [(" " + t.lower() + " ").encode("utf-8", "replace") if t else b"" for t in texts]
+    raws = [lowered(t) for t in texts]
     spans = [cuts(r, model.params.window) for r in raws]
     counts = np.array([len(s) - 1 for s in spans])
     if not counts.sum():
@@ -101,7 +112,7 @@ def window_gains(texts: list[str], model: Model, comp) -> tuple[np.ndarray, np.n
 
 
 def gain_bins(gain: np.ndarray) -> np.ndarray:
-    return np.clip(gain, 0, GAINS - 1)
+    return np.clip(gain, LEAST, MOST) - LEAST
 
 
 def decided(gain: np.ndarray, counts: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,98 +124,82 @@ def decided(gain: np.ndarray, counts: np.ndarray, model: Model) -> tuple[np.ndar
     return (score >= model.cutoff) & (counts > 0), score, (speak[ends] - speak[ends - counts]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
 
 
-def words_of(text: str) -> list[str]:
-    return [w.strip(".,!?") for w in text.lower().split()]
-
-
-def units(word: str) -> list[str]:
-    """What a word may be toxic by: itself whole, with the space after it, or how it begins."""
-    return [word + " ", *(word[:k] for k in range(7, 3, -1) if len(word) > k)]
-
-
-def contexts(texts: list[str]) -> tuple[Counter, int]:
-    """In how many distinct contexts (word and the word before) each unit occurs, and the number of contexts: copies of one document count once."""
-    pairs = set()
-    for t in texts:
-        ws = words_of(t)
-        pairs.update(zip(["", *ws], ws, strict=False))
-    words = Counter(w for _, w in pairs)
-    out: Counter = Counter()
-    for w, n in words.items():
-        for u in units(w):
-            out[u] += n
-    return out, len(pairs)
-
-
-def toxic_units(toxic: list[str], ordinary: list[str], params: Params) -> dict[str, float]:
-    """The units that are in significantly more contexts of toxic than of ordinary texts, with their log-likelihood ratio."""
-    (ct, nt), (co, no) = contexts(toxic), contexts(ordinary)
-    out = {}
-    for u, k in ct.items():
-        if k < 3 or len(u) < 4:
-            continue
-        j = co[u]
-        odds = log((k + 0.5) / nt) - log((j + 0.5) / no)
-        if odds > params.log_odds:
-            share = (k + j) / (nt + no)
-            g = 2 * (k * log(k / (nt * share)) + (j * log(j / (no * share)) if j else 0.0))
-            if g > params.significance:
-                out[u] = g
+def grams(raw: bytes, size: int) -> np.ndarray:
+    """The string of so many bytes that begins at each place, as a number."""
+    a = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    n = len(a) - size + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for k in range(size):
+        out = out << np.uint64(8) | a[k : k + n] if n > 0 else out
     return out
 
 
-def trained_dictionary(samples: list[bytes], size: int) -> bytes:
-    """The content of a trained dictionary of about size bytes; too few samples are taken as they are."""
-    packed, cur = [], b""
+def known_strings(texts: list[bytes], params: Params) -> np.ndarray:
+    """The strings that at least params.known_from of the texts hold, in order."""
+    g, n = np.unique(np.concatenate([np.unique(grams(t, params.gram)) for t in texts]), return_counts=True)
+    return g[n >= params.known_from]
+
+
+def stretches(raw: bytes, known: np.ndarray, params: Params) -> list[tuple[bytes, bytes]]:
+    """Stretches of a text whose strings, three at least, are all new: with three bytes around, by which copies of one document show, and without."""
+    g = grams(raw, params.gram)
+    there = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g if len(known) else np.zeros(len(g), bool)
+    new = np.concatenate([[False], ~there, [False]])
+    edge = np.flatnonzero(new[1:] != new[:-1])
+    return [(raw[max(0, s - 3) : e + params.gram + 2], raw[s : e + params.gram - 1]) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if e - s >= 3]
+
+
+def trained_dictionary(samples: list[bytes], size: int, k: int) -> bytes:
+    """The content of a trained dictionary of at most size bytes; too few samples for the trainer are taken as they are."""
+    packed, cur, held = [], [], 0
     for s in samples:
-        cur += s
-        if len(cur) >= 64:
-            packed.append(cur)
-            cur = b""
-    whole = b"".join(packed) + cur
-    if len(whole) > 4 * size:
+        cur.append(s)
+        held += len(s)
+        if held >= 64:
+            packed.append(b"".join(cur))
+            cur, held = [], 0
+    if sum(map(len, packed)) > 4 * size:
         try:
-            return zstd.train_dictionary(size + 1024, packed, k=32, d=6).as_bytes()[-size:]
+            return zstd.train_dictionary(size + 1024, packed, k=k, d=6).as_bytes()[-size:]  # without its header
         except zstd.ZstdError:
             pass
-    seen: dict[bytes, None] = dict.fromkeys(samples)
-    return b"".join(seen)[-size:]
+    return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], params: Params) -> Model:
+    """A model of the dictionaries alone."""
+    pieces = [r[a:b] for r in ordinary for c in (cuts(r, params.window).tolist(),) for a, b in zip(c, c[1:], strict=False)]
+    known = known_strings(ordinary, params)
+    own = [list(dict(x for r in texts for x in stretches(r, known, params)).values()) for texts in (ordinary, toxic)]
+    return Model(trained_dictionary(pieces, params.common_bytes, 24), *(trained_dictionary(s, params.class_bytes, params.segment) or b" " * 8 for s in own), (0.0,) * (MOST - LEAST + 1), 0.0, params)
 
 
 def fit(toxic: list[str], ordinary: list[str], params: Params = Params()) -> Model:
-    """Dictionaries from the first part of each list, thresholds from the held-out rest."""
-    empty = Model(b" " * 8, b" " * 8, (0.0,) * GAINS, float("inf"), params)
-    if not toxic or not ordinary:
-        return empty
-    kt, ko = max(1, round(len(toxic) * (1 - params.held_out))), max(1, round(len(ordinary) * (1 - params.held_out)))
-    tt, oo = toxic[:kt], ordinary[:ko]
-    known = toxic_units(tt, oo, params)
-
-    def best(w: str) -> str:
-        have = [(known[u], u) for u in units(w) if u in known]
-        return next(u for g, u in have if g >= 0.8 * max(have)[0]) if have else ""  # the longest of about the best
-
-    phrases = [(" " + u).encode() for t in tt for u in map(best, words_of(t)) if u]
-    if not phrases:
-        return empty
-    # the commonest last, where matches are cheapest; what doesn't fit whole goes to the trainer
-    distinct = [w for w, _ in Counter(phrases).most_common()]
-    kept = distinct[: params.toxic_bytes // 16]
-    whole = b"".join(reversed(kept))
-    toxic_part = (trained_dictionary([x for x in phrases if x not in set(kept)], params.toxic_bytes // 2) if len(kept) < len(distinct) else b"") + whole
-    pieces = [r[a:b] for t in oo for r in ((" " + t.lower() + " ").encode(),) for c in (cuts(r, params.window).tolist(),) for a, b in zip(c, c[1:], strict=False)]
-    model = Model(trained_dictionary(pieces, params.base_bytes), toxic_part, (0.0,) * GAINS, 0.0, params)
-    comp = compressors(model)
-    (gt, nt), (go, no) = window_gains(toxic[kt:] or toxic, model, comp), window_gains(ordinary[ko:] or ordinary, model, comp)
-    have_t, have_o = (np.bincount(gain_bins(g), minlength=GAINS) + 0.5 for g in (gt, go))
-    weights = np.log(have_t / have_t.sum()) - np.log(have_o / have_o.sum())
-    model = Model(model.ordinary, model.toxic, tuple(weights.tolist()), 0.0, params)
-    st, so = decided(gt, nt, model)[1], decided(go, no, model)[1]
-    cuts_ = np.unique(np.concatenate([st, so]))
-    best = max(cuts_.tolist(), key=lambda c: ((st >= c).mean() - params.false_cost * (so >= c).mean(), c))
-    below = cuts_[cuts_ < best]
-    cutoff = (best + below[-1]) / 2 if len(below) else best
-    return Model(model.ordinary, model.toxic, model.weights, float(cutoff), params)
+    """Dictionaries of all texts; weights and threshold of each fold's gains under the dictionaries of the others."""
+    t, o = (list(dict.fromkeys(x for x in texts if x)) for texts in (toxic, ordinary))
+    if not t or not o:
+        return Model(b" " * 8, b" " * 8, b" " * 8, (0.0,) * (MOST - LEAST + 1), float("inf"), params)
+    t_raw, o_raw = [lowered(x) for x in t], [lowered(x) for x in o]
+    whole = dictionaries(t_raw, o_raw, params)
+    folds = min(params.folds, len(t), len(o))
+    if folds < 2:
+        return replace(whole, cutoff=float("inf"))
+    gains, counts = ([[], []] for _ in range(2))
+    for f in range(folds):
+        rest = dictionaries([x for i, x in enumerate(t_raw) if i % folds != f], [x for i, x in enumerate(o_raw) if i % folds != f], params)
+        for kind, texts in enumerate((o, t)):
+            g, n = window_gains(texts[f::folds], rest, compressors(rest))
+            gains[kind].append(g)
+            counts[kind].append(n)
+    gains, counts = [np.concatenate(x) for x in gains], [np.concatenate(x) for x in counts]
+    have = [np.bincount(gain_bins(g), minlength=MOST - LEAST + 1) + 0.5 for g in gains]
+    weights = np.log(have[1] / have[1].sum()) - np.log(have[0] / have[0].sum())
+    model = replace(whole, weights=tuple(weights.tolist()))
+    so, st = (decided(g, n, model)[1] for g, n in zip(gains, counts, strict=True))
+    at = np.unique(np.concatenate([st, so]))
+    best = max(at.tolist(), key=lambda c: ((st >= c).mean() - params.false_cost * (so >= c).mean(), c))
+    below = at[at < best]
+    return replace(model, cutoff=float((best + below[-1]) / 2 if len(below) else best))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -231,17 +226,17 @@ def scorer(model: Model):
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, Column]:
     name = fresh(docs, "__toxicity")
-    return tuned(docs).withColumn(name, scorer(model)(F.col(text_col))), F.col(name)
+    return docs.withColumn(name, scorer(model)(F.col(text_col))), F.col(name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, score (sum of the windows' weights), windows, toxic_windows, toxic for each row of docs."""
     model = train(docs, labels, params)
-    d = tuned(docs).select(F.col("doc_id"), scorer(model)(F.col("text")).alias("s"))
+    d = docs.select(F.col("doc_id"), scorer(model)(F.col("text")).alias("s"))
     return d.select("doc_id", F.when(~F.isnan("s.score"), F.col("s.score")).alias("score"), "s.windows", "s.toxic_windows", "s.toxic")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
     """docs without the rows that are toxic; all columns stay as they are."""
     d, s = scored(docs, train(docs, labels, params))
-    return d.where(~s["toxic"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return d.where(~s["toxic"]).select(*named(*docs.columns))
