@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, by_part, fresh, gathered, mix, partitions, scattered, tuned, written
+from .common import BLOB_SCHEMA, by_part, fresh, gathered, mix, named, partitions, scattered, whole_id, written
 
 RECORD = np.dtype([("key", "<u4"), ("sketch", "<u4"), ("hash", "<i8")])
 INDEX = np.uint32(1)  # lowest bit of the key: an index row, and not a probe
@@ -206,7 +206,7 @@ def _band(a: list[str], b: list[str], n1: np.ndarray, n2: np.ndarray, most: int)
 
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no, line of the lines that aren't blank."""
-    d = tuned(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.split(F.col("text"), "\n").alias("l")).where("doc_id is not null and l is not null")
+    d = docs.select(whole_id("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.split(F.col("text"), "\n").alias("l")).where("doc_id is not null and l is not null")
     return d.select("doc_id", "text_hash", F.posexplode("l").alias("line_no", "line")).where(F.length(F.trim("line")) > 0)
 
 
@@ -271,7 +271,7 @@ def without_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """docs with the lines that go taken out of text, and n_chars as it then is; documents of which nothing is left go. The other columns stay as they are."""
     gone, gid, gtext = fresh(docs, "__lines"), fresh(docs, "__id"), fresh(docs, "__text")
     drops = dropped(docs, params).groupBy(F.col("doc_id").alias(gid), F.col("text_hash").alias(gtext)).agg(F.collect_set("line_no").alias(gone))
-    j = docs.join(drops, (docs["doc_id"].cast("bigint") == drops[gid]) & (F.xxhash64(docs["text"]) == drops[gtext]), "left")
+    j = docs.join(drops, (whole_id("doc_id") == F.col(gid)) & (F.xxhash64("text") == F.col(gtext)), "left")
 
     kept = F.transform(F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(gone), s["i"])), lambda s: s["x"])
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
@@ -282,6 +282,6 @@ def without_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:
         elif c == "n_chars":
             cols.append(F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(text).cast(docs.schema[c].dataType)).alias(c))
         else:
-            cols.append(F.col(f"`{c}`"))
+            cols.append(named(c)[0])
     out = j.select(*cols, F.col(gone).isNotNull().alias(gone))
-    return out.where(~F.col(gone) | (F.length(F.regexp_replace("text", "[ \\n]", "")) > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.where(~F.col(gone) | (F.length(F.regexp_replace("text", "[ \\n]", "")) > 0)).select(*named(*docs.columns))

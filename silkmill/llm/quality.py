@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, linear, logistic, tuned
+from .common import fresh, linear, logistic, named
 
 
 @dataclass(frozen=True)
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Mode
     """Fits on bounded samples, taken by the hash of doc_id."""
     lab = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y")).where("__id is not null and __y in (0, 1)").distinct()
     chosen = lab.orderBy(F.xxhash64("__id"), "__id").limit(params.train_docs)
-    d = tuned(docs).select(F.col("doc_id").alias("__id"), "text", "lang", "source", "n_chars").where("__id is not null")
+    d = docs.select(F.col("doc_id").alias("__id"), "text", "lang", "source", "n_chars").where("__id is not null")
     drawn = d.select("__id").orderBy(F.xxhash64("__id", F.lit(7)), "__id").limit(params.pool_docs).distinct().withColumn("__y", F.lit(-1)).join(chosen.select("__id"), "__id", "left_anti")
     extract = F.pandas_udf(_packed, "array<double>")
     rows = d.join(F.broadcast(chosen.union(drawn)), "__id").select("__id", "__y", extract("text", "lang", "source", "n_chars").alias("x")).orderBy(F.xxhash64("__id"), "__id", "__y").collect()
@@ -173,7 +173,7 @@ def scorer(model: Model):
 def quality(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, score, keep for each row of docs."""
     model = train(docs, labels, params)
-    d = tuned(docs).select("doc_id", scorer(model)("text", "lang", "source", "n_chars").alias("s"))
+    d = docs.select("doc_id", scorer(model)("text", "lang", "source", "n_chars").alias("s"))
     return d.select("doc_id", F.when(~F.isnan("s.score"), F.col("s.score")).alias("score"), "s.keep")
 
 
@@ -181,4 +181,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, params: Params = Params()) ->
     """docs without the rows that the classifier rejects; all columns stay as they are."""
     name = fresh(docs, "__quality")
     d = docs.withColumn(name, scorer(train(docs, labels, params))("text", "lang", "source", "n_chars"))
-    return d.where(F.col(name)["keep"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return d.where(F.col(name)["keep"]).select(*named(*docs.columns))
