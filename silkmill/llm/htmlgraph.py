@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import whole_id
 
 TOKEN = re.compile(r"<!--.*?-->|<![^>]*>|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -314,7 +314,7 @@ def extracted(pages: DataFrame, params: Params = Params(), model: Model | None =
         t, n, k = extract(html.tolist(), model)
         return pd.DataFrame({"text": t, "text_nodes": n, "kept_nodes": k})
 
-    d = tuned(pages).select(F.col("page_id").cast("bigint").alias("page_id"), run("html").alias("r"))
+    d = pages.select(whole_id("page_id").alias("page_id"), run("html").alias("r"))
     return d.select("page_id", "r.text", "r.text_nodes", "r.kept_nodes")
 
 

@@ -50,10 +50,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_edit_fingerprints, op5_simhash, op6_packing, op7_warc_salvage, op8_html_extraction, op9_embedding_neardup, op10_quality)}
 
-#: The records of all pages but the damaged ones, and a gap for each of those.
+#: op7: the records of all pages but the damaged ones, and a gap for each of those. op9: all pairs of different vectors, and the least vector that each reaches by near ones.
 ORACLE_SQL: dict[str, str] = {
     "op7_warc_salvage": """
 SELECT 'record' AS kind, page_id, url, md5(html) AS html_md5 FROM pages WHERE page_id % 50 <> 7 AND url IS NOT NULL AND html IS NOT NULL
 UNION ALL
 SELECT 'gap', NULL, NULL, NULL FROM pages WHERE page_id % 50 = 7 AND url IS NOT NULL AND html IS NOT NULL""",
+    "op9_embedding_neardup": """
+WITH RECURSIVE v AS (SELECT embedding, min(vec_id) AS id, count(DISTINCT vec_id) AS copies FROM embeddings WHERE vec_id IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0 GROUP BY 1),
+near AS (SELECT a.id AS a, b.id AS b FROM v a, v b WHERE a.id <> b.id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95),
+reach(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+grouped AS (SELECT a, min(b) AS group_id FROM reach GROUP BY 1), links AS (SELECT a, count(*) AS links FROM near GROUP BY 1)
+SELECT DISTINCT e.vec_id, g.group_id, coalesce(l.links, 0) AS links, v.copies FROM embeddings e JOIN v ON v.embedding = e.embedding JOIN grouped g ON g.a = v.id LEFT JOIN links l ON l.a = v.id""",
 }

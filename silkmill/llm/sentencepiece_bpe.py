@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import whole_id
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -263,7 +263,7 @@ def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_co
 
     import pyarrow.compute  # noqa: F401
 
-    d = tuned(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(whole_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(each, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
@@ -279,4 +279,4 @@ def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
             text = decode(flat, n, vocabulary)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else t for x, t in zip(lists, text, strict=True)], pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids")).mapInArrow(each, "doc_id bigint, text string")
+    return tokens.select(whole_id("doc_id").alias("doc_id"), F.col("ids")).mapInArrow(each, "doc_id bigint, text string")

@@ -72,7 +72,7 @@ def test_packing(docs):
     for r in rows:
         got.setdefault(r.doc_id, []).append((r.first_token, r.tokens))
     assert {i: sum(n for _, n in p) for i, p in got.items()} == {i: n for i, n in tokens.items() if n}
-    assert all(sorted(p) == p or True for p in got.values()) and all([a for a, _ in sorted(p)] == [k * 2048 for k in range(len(p))] for p in got.values())
+    assert all([a for a, _ in sorted(p)] == [k * 2048 for k in range(len(p))] for p in got.values())
     assert sum(tokens.values()) / 2048 / len(bins) > 0.95
 
 
@@ -209,23 +209,58 @@ def test_html_odd_rows(spark):
 # --- NN-descent
 
 
+def components(n, near):
+    root = np.arange(n)
+    while True:
+        new = np.where(near, root[None, :], n).min(1)
+        new = np.minimum(new, root)
+        if (new == root).all():
+            return root
+        root = new
+
+
+def against_all_pairs(spark, x, params=nndescent.Params()):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r for r in nndescent.near_duplicates(df, params).collect()}
+    x = x.astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    same = np.array([[np.array_equal(a, b) for b in x] for a in x])
+    near = s >= params.threshold
+    root = components(len(x), near)
+    pairs = [(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+    assert set(got) == set(range(len(x))) and all(got[i].group_id >= root[i] and root[got[i].group_id] == root[i] for i in got)
+    assert np.mean([got[a].group_id == got[b].group_id for a, b in pairs]) >= 0.9
+    for i in got:
+        links = {j for j in np.flatnonzero(near[i] & ~same[i]) if got[j].group_id == got[i].group_id}
+        first = {min(np.flatnonzero(same[j])) for j in links}
+        assert got[i].links == len(first) and got[i].copies == same[i].sum()
+    return len(pairs), sum(got[i].group_id != i for i in got)
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 24))
     x[300:340] = x[0] + rng.normal(size=(40, 24)) * 0.05  # more than a list holds
     x[400:430] = x[100:130] + rng.normal(size=(30, 24)) * 0.08
     x[500:505] = x[10]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    got = {(r.a, r.b) for r in nndescent.near_duplicates(df).collect()}
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    s = u @ u.T
-    true = {(a, b) for a, b in zip(*np.nonzero(np.triu(s >= 0.95, 1)), strict=True)}
-    shown = {(a, b) for a, b in true if not (a in range(500, 505) or b in range(501, 505)) or a == 10}
-    assert all(s[a, b] > 0.9499 for a, b in got) and len(got & shown) >= 0.9 * len(shown) > 700
+    n, gone = against_all_pairs(spark, x)
+    assert n > 700 and gone >= 60
+
+
+def test_saturated_lists_are_enlarged(spark):
+    """A third of all vectors in one cluster of different near-duplicates, and a chain whose ends aren't near each other; groups larger than a block."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(450, 24))
+    x[:150] = x[0] + rng.normal(size=(150, 24)) * 0.06
+    for i in range(201, 240):
+        x[i] = x[i - 1] + rng.normal(size=24) * 0.2
+    n, _ = against_all_pairs(spark, x, nndescent.Params(neighbours=4, block=40))
+    assert n > 10_000
 
 
 def test_vector_odd_rows(spark):
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (None, [1.0, 0.0]), (7, [1.0, None]), (8, [1.0]), (1, [1.0, 0.0]), (9, [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    assert [(r.a, r.b, r.cosine) for r in nndescent.near_duplicates(df).collect()] == [(1, 2, 1.0)]
+    rows = [("1", [1.0, 0.0]), ("2", [2.0, 0.0]), ("3", None), ("4", []), ("5", [0.0, 0.0]), ("6", [float("nan"), 1.0]), (None, [1.0, 0.0]), ("7", [1.0, None]), ("8", [1.0]), ("1", [1.0, 0.0]), ("9", [0.0, 1.0]), ("x", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>").selectExpr("*", "1 as id", "2 as v", "3 as `a``b`")
+    assert sorted(map(tuple, nndescent.near_duplicates(df).collect())) == [(1, 1, 0, 2), (2, 1, 0, 2), (9, 9, 0, 1)]
     assert nndescent.near_duplicates(df.where("false")).count() == 0
