@@ -7,9 +7,11 @@ key whose character-parity sketches differ in more bits than the edits allow are
 banded bit-parallel edit distance. A line goes if an earlier line, by (doc_id, line number), is equal to it or within
 the threshold. The threshold grows with length: 0 under 12 characters, 1 under 24, then 2; a pair has that of its shorter line.
 
-Defined results: null texts, blank lines and rows whose doc_id is null are left as they are. Rows that repeat a doc_id and a
-text are one document and treated alike; rows of one doc_id and different texts are documents of their own, in the order of a hash
-of the text where doc_id and line number are equal. A document whose lines that aren't blank all go goes as a whole.
+Defined results: null texts, blank lines (of white space of any kind: a CRLF text's empty lines too) and rows whose doc_id isn't a
+whole number are left as they are. A carriage return at a line's end belongs to the break and is not compared. Rows that repeat a
+doc_id and a text are one document and treated alike; rows of one doc_id and different texts are documents of their own, in the
+order of a hash of the text where doc_id and line number are equal. Lines of any length are compared whole. A document whose lines
+that aren't blank all go goes as a whole. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -204,10 +206,13 @@ def _band(a: list[str], b: list[str], n1: np.ndarray, n2: np.ndarray, most: int)
     return np.minimum(dist, most + 1)
 
 
+SOLID = r"(?U)\S"  # a character that isn't white space
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no, line of the lines that aren't blank."""
     d = docs.select(whole_id("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.split(F.col("text"), "\n").alias("l")).where("doc_id is not null and l is not null")
-    return d.select("doc_id", "text_hash", F.posexplode("l").alias("line_no", "line")).where(F.length(F.trim("line")) > 0)
+    return d.select("doc_id", "text_hash", F.posexplode("l").alias("line_no", "line")).where(F.col("line").rlike(SOLID)).withColumn("line", F.rtrim("line", F.lit("\r")))
 
 
 def near_pairs(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -284,4 +289,4 @@ def without_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:
         else:
             cols.append(named(c)[0])
     out = j.select(*cols, F.col(gone).isNotNull().alias(gone))
-    return out.where(~F.col(gone) | (F.length(F.regexp_replace("text", "[ \\n]", "")) > 0)).select(*named(*docs.columns))
+    return out.where(~F.col(gone) | F.col("text").rlike(SOLID)).select(*named(*docs.columns))

@@ -1,13 +1,19 @@
 """WARC files: a writer, and a reader that salvages what it can of damaged ones.
 
-The reader takes gzip members or plain records one after the other. A record counts if its member inflates, its version line,
-headers and length hold, what follows it is the end, a member or a version line, and its block has the digest that its header
-names. Where a check fails it searches for the next member or version line from which a record counts, goes on there,
-and logs the bytes between as a gap with the reason. Files are read in byte ranges, as lines of text are: a range has the records
-that begin in it, and the gaps up to the first record that begins after it.
-
-Defined results: an empty file has no records and no gaps; a truncated record is a gap to the end; records of a type other than
-those asked for are skipped and are no gaps; equal records are all returned. Pages whose url or html is null aren't written.
+The reader takes gzip members or plain records one after the other. A record counts if its version line, headers and length hold,
+what follows it is the end, a member or a version line, and its block has the digest that its header names. Where a check fails
+it searches for the next member or version line from which a record counts, goes on there, and logs the bytes between as a gap
+with the reason. Within a member the same search goes over what it inflates to: a bad record costs itself, and its gap names the
+inflated bytes. Of a member that is cut or that stops inflating, the records before that place are kept if they have a digest
+and it is right, and the member is logged as a gap too. Files are read in byte ranges, as lines of text are: a range has the
+records that begin in it, and the gaps up to the first record that begins after it.
+
+Defined results: an empty file, or null content, has no records and no gaps; a truncated record is a gap to the end; records of a
+type other than those asked for are skipped and are no gaps; equal records are all returned, each in its place. Records and headers
+may be of any length: a range reads on to the end of the last record that begins in it; a member has to fit in memory. In plain
+files, records inside the body of a record that is longer than a range are also found by the ranges that begin in that body. Pages
+whose url or html is null aren't written; a page_id that is null or isn't a number makes a record without a page_id. Other columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +35,6 @@ from .common import table
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
-MOST_HEADER = 1 << 20
 
 
 class NeedMore(Exception):
@@ -77,16 +82,29 @@ def parse_headers(raw: bytes) -> dict[str, str] | None:
     return out
 
 
-def plain_record(buf: bytes, at: int, whole: bool) -> tuple[Found | None, str, int]:
-    """The record at a place of plain WARC bytes: it and its end, or why there is none. whole: buf ends where the file does."""
+class Blank:
+    """Where the next empty line of a buffer is; answers are kept, so that a run of version lines without one is read once."""
+
+    def __init__(self, buf: bytes) -> None:
+        self.buf, self.asked, self.found = buf, {}, {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        if mark not in self.asked or not (self.asked[mark] <= at and (self.found[mark] < 0 or at <= self.found[mark])):
+            self.asked[mark], self.found[mark] = at, self.buf.find(mark, at)
+        return self.found[mark]
+
+
+def plain_record(buf: bytes, at: int, rest: int, blank: Blank | None = None) -> tuple[Found | None, str, int]:
+    """The record at a place of plain WARC bytes: it and its end, or why there is none. rest: bytes of the file beyond buf."""
     m = VERSION.match(buf, at)
     if not m:
-        if not whole and len(buf) - at < 16:
+        if rest and len(buf) - at < 16:
             raise NeedMore
         return None, "no version line", at
-    ends = [(i, i + n) for i, n in ((buf.find(b"\r\n\r\n", m.end(), m.end() + MOST_HEADER), 4), (buf.find(b"\n\n", m.end(), m.end() + MOST_HEADER), 2)) if i >= 0]
+    blank = blank or Blank(buf)
+    ends = [(i, i + len(x)) for x in (b"\r\n\r\n", b"\n\n") if (i := blank.after(x, m.end())) >= 0]
     if not ends:
-        if not whole and len(buf) - m.end() < MOST_HEADER:
+        if rest:
             raise NeedMore
         return None, "no end of headers", at
     stop, body = min(ends)
@@ -94,18 +112,15 @@ def plain_record(buf: bytes, at: int, whole: bool) -> tuple[Found | None, str, i
     if headers is None or not headers.get("content-length", "").isdigit():
         return None, "bad headers", at
     end = body + int(headers["content-length"])
-    if end > len(buf) or (not whole and end + 16 > len(buf)):
-        # a length that runs far over what may follow is not worth reading for
-        if not whole and VERSION.search(buf, body) is None:
-            raise NeedMore
-        if not whole and end - len(buf) < 1 << 26:
-            raise NeedMore
+    if end > len(buf) + rest:
         return None, "truncated", at
+    if rest and end + 16 > len(buf):
+        raise NeedMore
     block = buf[body:end]
     after = end
     while after < len(buf) and after < end + 4 and buf[after] in b"\r\n":
         after += 1
-    if after < len(buf) and not VERSION.match(buf, after):
+    if after < len(buf) and not VERSION.match(buf, after) and not buf.startswith(MAGIC, after):
         return None, "bad length", at
     named = headers.get("warc-block-digest", "")
     if named.startswith("sha1:") and named != digest(block):
@@ -113,34 +128,68 @@ def plain_record(buf: bytes, at: int, whole: bool) -> tuple[Found | None, str, i
     return Found("record", at, after, "", headers, block), "", after
 
 
-def member(buf: bytes, at: int, whole: bool) -> tuple[list[Found], str, int]:
-    """The records of the gzip member at a place, and its end; or why there are none."""
+def inflated(buf: bytes, at: int) -> tuple[bytes, str, int]:
+    """What the gzip member at a place inflates to, why it ends early if it does, and where it ends. It is fed in pieces, so that a member costs its own length and not the buffer's."""
+    view, out = memoryview(buf), []
     d = zlib.decompressobj(31)
-    try:
-        raw = d.decompress(buf[at:] if len(buf) - at < 1 << 22 else memoryview(buf)[at:])
-    except zlib.error:
-        return [], "bad member", at
-    if not d.eof:
-        if not whole:
-            raise NeedMore
-        return [], "truncated", at
-    end = len(buf) - len(d.unused_data)
-    out: list[Found] = []
-    k = 0
-    while k < len(raw):
-        got, why, k2 = plain_record(raw, k, True)
-        if got is None:
-            return [], why, at
-        got.start, got.end = at, end
-        out.append(got)
-        k = k2
-    return (out, "", end) if out else ([], "empty member", at)
+    k, step = at, 4096
+    while k < len(buf) and not d.eof:
+        piece = view[k : k + step]
+        before = d.copy()
+        try:
+            out.append(d.decompress(piece))
+        except zlib.error:
+            for size in (512, 16):  # as near to the damage as small pieces come
+                while len(piece):
+                    d = before.copy()
+                    try:
+                        out.append(d.decompress(piece[:size]))
+                    except zlib.error:
+                        break
+                    before, piece = d, piece[size:]
+            return b"".join(out), "bad member", at
+        k += len(piece)
+        step = min(2 * step, 1 << 18)
+    return b"".join(out), "" if d.eof else "truncated", k - len(d.unused_data)
 
 
-def records_at(buf: bytes, at: int, whole: bool) -> tuple[list[Found], str, int]:
+def member(buf: bytes, at: int, rest: int) -> tuple[list[Found], str, int]:
+    """The records of the gzip member at a place, with gaps between them, and its end; if it isn't whole, those that their digests vouch for, and why."""
+    raw, why, end = inflated(buf, at)
+    if why == "truncated" and rest:
+        raise NeedMore
+    out: list[Found] = []
+    blank, k, gap = Blank(raw), 0, None
+    first = ""
+    while k < len(raw):
+        got, bad, after = plain_record(raw, k, 0, blank)
+        if got and why and not got.headers.get("warc-block-digest", "").startswith("sha1:"):
+            got, bad = None, why
+        if got:
+            if gap is not None and not why:
+                out.append(Found("gap", at, end, f"{gap[1]} in inflated bytes {gap[0]} to {k}"))
+            gap = None
+            got.start, got.end = at, end
+            out.append(got)
+            k = after
+        else:
+            gap = gap or (k, bad)
+            first = first or bad
+            m = VERSION.search(raw, k + 1)
+            k = m.start() if m else len(raw)
+    records = any(f.kind == "record" for f in out)
+    if records and gap is not None and not why:
+        out.append(Found("gap", at, end, f"{gap[1]} in inflated bytes {gap[0]} to {len(raw)}"))
+    if why:
+        return out, why, at
+    return (out, "", end) if records else ([], first or "empty member", at)
+
+
+def records_at(buf: bytes, at: int, rest: int, blank: Blank | None = None) -> tuple[list[Found], str, int]:
+    """What counts at a place, why it doesn't or not all of it does, and its end."""
     if buf.startswith(MAGIC, at):
-        return member(buf, at, whole)
-    got, why, end = plain_record(buf, at, whole)
+        return member(buf, at, rest)
+    got, why, end = plain_record(buf, at, rest, blank)
     return ([got] if got else []), why, end
 
 
@@ -153,32 +202,33 @@ def candidates(buf: bytes, at: int) -> Iterator[int]:
         yield m.start()
 
 
-def next_valid(buf: bytes, at: int, whole: bool) -> int:
+def next_valid(buf: bytes, at: int, rest: int, blank: Blank | None = None) -> int:
     """Where the next record that counts begins; the end where there is none."""
     for c in candidates(buf, at):
-        found, _, _ = records_at(buf, c, whole)
+        found, _, _ = records_at(buf, c, rest, blank)
         if found:
             return c
-    if not whole:
+    if rest:
         raise NeedMore
     return len(buf)
 
 
-def salvage(buf: bytes, first: bool = True, limit: int | None = None, whole: bool = True) -> Iterator[Found]:
-    """Records that begin before limit and gaps up to the first record after it. first: the file begins here; otherwise what comes before the first valid record is the range's before."""
+def salvage(buf: bytes, first: bool = True, limit: int | None = None, rest: int = 0) -> Iterator[Found]:
+    """Records that begin before limit and gaps up to the first record after it. first: the file begins here; otherwise what comes before the first valid record is the range's before. rest: bytes of the file beyond buf."""
     limit = len(buf) if limit is None else limit
-    at = 0 if first else next_valid(buf, 0, whole)
+    blank = Blank(buf)
+    at = 0 if first else next_valid(buf, 0, rest, blank)
     while at < len(buf):
-        found, why, end = records_at(buf, at, whole)
+        found, why, end = records_at(buf, at, rest, blank)
         if found and at >= limit:
             return
-        if found:
-            yield from found
+        yield from found
+        if found and not why:
             at = end
         else:
-            start, at = at, next_valid(buf, at + 1, whole)
+            start, at = at, next_valid(buf, at + 1, rest, blank)
             yield Found("gap", start, at, why)
-        if at >= len(buf) and not whole:
+        if at >= len(buf) and rest:
             raise NeedMore
 
 
@@ -240,7 +290,7 @@ def read_warc(spark: SparkSession, path: str, types: tuple = ("response",), rang
                         f.seek(start)
                         buf = f.read(stop - start)
                     try:
-                        rows = list(_rows(p, salvage(buf, start == 0, range_bytes, stop == size), start, types))
+                        rows = list(_rows(p, salvage(buf, start == 0, range_bytes, size - stop), start, types))
                         break
                     except NeedMore:
                         extra *= 4
