@@ -9,13 +9,18 @@ Training pages are labelled by their own markup: nodes inside <article> or <main
 two tags themselves are no features, so that the model holds for pages without them.
 
 Defined results: null html gives a null text; html without text, or without tags, gives an empty text or all of its text.
-Unclosed and stray tags are taken as browsers do: <p>, <li>, <td>, <tr>, <option> close their like, a stray end tag is dropped.
+Unclosed and stray tags are taken as browsers do: <p>, <li>, <td>, <tr>, <option> close their like, a stray end tag is dropped,
+a script or style without an end goes to the end of the page, and a tag that isn't closed with > is text. Pages of any length are
+read whole; each row is extracted for itself, repeated ones alike. Ties can't occur: a node is content from the cutoff on. Columns
+other than page_id and html aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
@@ -26,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import whole_id
 
-TOKEN = re.compile(r"<!--.*?-->|<![^>]*>|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+OPEN = re.compile(r"<(?:!|(/?)([a-zA-Z][a-zA-Z0-9]*+))")
+WITHIN = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 BLOCKS = frozenset("p div section article main header footer nav aside ul ol table tr h1 h2 h3 h4 h5 h6 pre blockquote figure form dl dd dt li td th title body html br hr".split())
@@ -54,10 +61,51 @@ class Tree:
     depth: list
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, tag, attributes) of each tag; tag is empty for comments, declarations and raw elements, which are passed over.
+
+    One pass: what is looked for and not there, as the end of a comment or of a script, is looked for once.
+    """
+    at, n = 0, len(html)
+    none: set[str] = set()  # what doesn't come any more
+    while m := OPEN.search(html, at):
+        start, tag = m.start(), (m.group(2) or "").lower()
+        if not tag:
+            end = -1
+            if html.startswith("<!--", start) and "-->" not in none:
+                end = html.find("-->", start + 4)
+                if end < 0:
+                    none.add("-->")
+                else:
+                    end += 3
+            if end < 0:
+                end = html.find(">", start) + 1
+                if not end:
+                    return
+            yield start, end, False, "", ""
+            at = end
+            continue
+        if tag in RAW and not m.group(1) and tag not in none:
+            close = RAW[tag].search(html, m.end())
+            if close or tag in ("script", "style"):
+                at = close.end() if close else n
+                yield start, at, False, "", ""
+                continue
+            none.add(tag)
+        end = WITHIN.match(html, m.end()).end()
+        while end < n and html[end] != ">":  # a quote that isn't closed is the last of its kind, and a sign as others
+            end = WITHIN.match(html, end + 1).end()
+        if end >= n:
+            return
+        yield start, end + 1, bool(m.group(1)), tag, html[m.end() : end]
+        at = end + 1
+
+
 def parse(html: str) -> Tree:
-    """Nodes in document order; node 0 is the root. text is a node's own text; a text between two children is a node (#text) of its own."""
+    """Nodes in document order; node 0 is the root. text is a node's own text; a text between two children is a node (#text) of its own. Time is in proportion to the length of html."""
     t = Tree(["#root"], [-1], [""], [""], [0])
-    stack = [0]
+    stack, block = [0], [0]  # open nodes, and for each the place of the nearest one, it or before it, that isn't inline
+    opened: Counter = Counter()
 
     def add(tag: str, attrs: str) -> int:
         t.tag.append(tag)
@@ -72,33 +120,32 @@ def parse(html: str) -> Tree:
         if s:
             t.text[add("#text", "")] = s
 
+    def close(k: int) -> None:
+        opened.subtract(t.tag[i] for i in stack[k:])
+        del stack[k:], block[k:]
+
     at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            words(html[at : m.start()])
-        at = m.end()
-        if not m.group(3):
+    for start, end, closing, tag, attrs in tokens(html):
+        if start > at:
+            words(html[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m.group(3).lower()
-        if m.group(2):
-            if tag in VOID:
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] == tag:
-                    del stack[k:]
-                    break
+        if closing:
+            if tag not in VOID and opened[tag] > 0:
+                k = len(stack) - 1
+                while t.tag[stack[k]] != tag:
+                    k -= 1
+                close(k)
             continue
-        closes = CLOSES.get(tag)
-        if closes:
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] in closes:
-                    del stack[k:]
-                    break
-                if t.tag[stack[k]] not in INLINE:
-                    break
-        n = add(tag, m.group(4))
-        if tag not in VOID and not m.group(4).rstrip().endswith("/"):
+        k = block[-1]
+        if k and t.tag[stack[k]] in CLOSES.get(tag, ()):
+            close(k)
+        n = add(tag, attrs)
+        if tag not in VOID and not attrs.rstrip().endswith("/"):
             stack.append(n)
+            block.append(block[-1] if tag in INLINE else len(stack) - 1)
+            opened[tag] += 1
     if at < len(html):
         words(html[at:])
     return t

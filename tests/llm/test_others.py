@@ -1,6 +1,7 @@
 import gzip
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -264,3 +265,30 @@ def test_vector_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id string, embedding array<float>").selectExpr("*", "1 as id", "2 as v", "3 as `a``b`")
     assert sorted(map(tuple, nndescent.near_duplicates(df).collect())) == [(1, 1, 0, 2), (2, 1, 0, 2), (9, 9, 0, 1)]
     assert nndescent.near_duplicates(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<script>", "<!--", "<svg>", "<a \"", "<div></x>", "<b><td></td>", "<td><div><b><td></td>", "<noscript", "<style>a</sty", "<p '>", "x < y "])
+def test_parser_is_linear(part):
+    htmlgraph.parse(part * 500)
+    times = []
+    for k in (4000, 64_000):
+        began = time.process_time()
+        htmlgraph.parse(part * k)
+        times.append(time.process_time() - began)
+    assert times[1] < 60 * times[0] + 0.5
+
+
+def test_parser_passes_over_what_isnt_text():
+    texts = lambda h: [x for x in htmlgraph.parse(h).text if x]
+    assert texts("<p>ok</p><script>var a=1;<b>x</b>") == ["ok"] and texts("<style>a{}") == []
+    assert texts("<p>a<!-- b --><SCRIPT src='x'>c</ScRiPt >d") == ["a", "d"]
+    assert texts("a <! x>b<svg><g>c") == ["a", "b", "c"] and texts("1 < 2 & 3 <x") == ["1 < 2 & 3 <x"]
+    assert texts('<a title="1 > 0" href=\'x\'>y</a> <a "b>c') == ["y", "c"]
+
+
+@pytest.mark.parametrize("most", [1, 7, 50, 1_000_000])
+def test_packing_in_parts(docs, most):
+    """Classes numbered in many parts are packed as well as in one."""
+    rows = packing.packed(docs, packing.Params(part_pieces=most)).collect()
+    bins = check_packed(rows, 2048)
+    assert sorted(bins) == list(range(len(bins))) and len(rows) == len({(r.doc_id, r.piece) for r in rows})
