@@ -7,7 +7,10 @@ bins counted and not walked. Only the histogram and the patterns come to the dri
 classes, not on that of documents. Pieces of a class are numbered in parallel, and a piece's number gives its bin.
 
 Tokens are runs of characters that aren't white space. Defined results: null, empty and blank texts have no tokens and are not
-packed; a document of more than bin_tokens tokens has several pieces, whole bins first; rows whose doc_id is null are packed too.
+packed; a document of more than bin_tokens tokens has several pieces, whole bins first, whatever its length; rows whose doc_id is
+null are packed too, and repeated rows are packed each for itself. Pieces of one doc_id and number (of repeated rows) are
+interchangeable: which of them has which place is open, and the rows of the result are the same. Other columns aren't read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ class Params:
     bin_tokens: int = 2048
     step: int = 8  # tokens by which the classes of lengths differ
     slack: int = 1  # classes by which a pattern may fall short of a bin
-    salts: int = 64  # parts in which the pieces of a class are numbered
+    part_pieces: int = 1_000_000  # pieces, about, that are numbered in one task; a class of more has as many parts as that takes
 
 
 def patterns(classes: np.ndarray, full: int, slack: int) -> list[tuple[int, ...]]:
@@ -150,26 +153,29 @@ def packed(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, piece, first_token, tokens, bin, slot for each piece of each document; no bin holds more than bin_tokens tokens."""
     if params.bin_tokens % params.step:
         raise ValueError("bin_tokens must be a multiple of step")
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(params.salts)).cast("int")
-    p = written(pieces(docs, params).withColumn("salt", salt), "pieces")
-    counts = p.groupBy("class", "salt").count().collect()
-    total: dict[int, int] = {}
-    offset: dict[tuple[int, int], int] = {}
-    for r in sorted(counts, key=lambda r: (r["class"], r["salt"])):
-        offset[r["class"], r["salt"]] = total.get(r["class"], 0)
-        total[r["class"]] = total.get(r["class"], 0) + r["count"]
+    p = written(pieces(docs, params), "pieces")
+    total = {r["class"]: r["count"] for r in p.groupBy("class").count().collect()}
+    parts = {c: -(-k // params.part_pieces) for c, k in total.items()}
+    hot = [x for c, k in parts.items() if k > 1 for x in (F.lit(c), F.lit(k))]
+    of_class = F.coalesce(F.create_map(*hot)[F.col("class")], F.lit(1)) if hot else F.lit(1)
+    p = p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), of_class).cast("int"))
+    first: dict[int, np.ndarray] = {c: np.zeros(k, np.int64) for c, k in parts.items()}  # number of the first piece of each part
+    if hot:
+        for r in p.where(F.col("class").isin([c for c, k in parts.items() if k > 1])).groupBy("class", "salt").count().collect():
+            first[r["class"]][r["salt"]] = r["count"]
+        first = {c: np.cumsum(n) - n for c, n in first.items()}
     where = ranges(plan(total, params.bin_tokens // params.step, params.slack))
 
     @F.pandas_udf("bin bigint, slot int")
     def place(cls: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
         bins, slots = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int32)
-        number = rank.to_numpy() - 1 + np.array([offset[k] for k in zip(cls, salt, strict=True)], np.int64) if len(cls) else rank.to_numpy()
-        c = cls.to_numpy()
+        c, part, rank = cls.to_numpy(), salt.to_numpy(), rank.to_numpy()
         for k in np.unique(c):
-            first, at, slot = where[int(k)]
+            starts, at, slot = where[int(k)]
             rows = np.flatnonzero(c == k)
-            j = np.searchsorted(first, number[rows], "right") - 1
-            bins[rows], slots[rows] = at[j] + number[rows] - first[j], slot[j]
+            number = rank[rows] - 1 + first[int(k)][part[rows]]
+            j = np.searchsorted(starts, number, "right") - 1
+            bins[rows], slots[rows] = at[j] + number - starts[j], slot[j]
         return pd.DataFrame({"bin": bins, "slot": slots})
 
     w = Window.partitionBy("class", "salt").orderBy("doc_id", "piece")
