@@ -70,28 +70,28 @@ def attempts_allowed(category: Column, limits: dict[str, int] | None = None) ->
 
 
 def retry_decision(category: Column, attempts: Column, parser_retries: Column) -> Column:
-    """RESCHEDULE or TERMINAL."""
-    again = F.when(category.isin(*FATAL), False).when(category == "PARSER_FAILURE", parser_retries < 1).otherwise(attempts + 1 < attempts_allowed(category))
+    """RESCHEDULE or TERMINAL; attempts and parser_retries are those counted before this failure."""
+    again = F.when(category.isin(*FATAL), False).when(category == "PARSER_FAILURE", parser_retries < 1).otherwise(attempts < attempts_allowed(category))
     return F.when(F.coalesce(again, F.lit(False)), "RESCHEDULE").otherwise("TERMINAL")
 
 
 def retry_delay_ms(category: Column, attempts: Column, base: int = 100, cap: int = 300_000, floor: int = 5000) -> Column:
-    """Without jitter: exponential for time-outs and the database, at least the politeness floor for overload, linear up to 30 s for capacity, minutes for robots, 2 s for the parser."""
+    """Without jitter, 1 at least: exponential for time-outs and the database, and for overload from the politeness floor on; linear up to 30 s for capacity, minutes for robots, 2 s for the parser, the base for others."""
     power = F.pow(F.lit(2.0), F.least(attempts, F.lit(20))).cast("bigint")
-    grown = lambda b: F.least(F.lit(b) * power, F.lit(cap))
+    grown = lambda b: F.greatest(F.lit(1), F.least(F.lit(b) * power, F.lit(cap)))
     return (
         F.when(category.isin("FETCH_TIMEOUT", "DB_TRANSIENT"), grown(base))
-        .when(category == "FETCH_HTTP_OVERLOAD", F.lit(max(floor, base)))
-        .when(category == "FETCH_CAPACITY_EXHAUSTED", F.least(F.lit(base) * (attempts + 1), F.lit(30_000)))
+        .when(category == "FETCH_HTTP_OVERLOAD", grown(max(floor, base)))
+        .when(category == "FETCH_CAPACITY_EXHAUSTED", F.greatest(F.lit(1), F.least(F.lit(base) * (attempts + 1), F.lit(30_000))))
         .when(category == "ROBOTS_TRANSIENT", F.lit(120_000))
         .when(category == "PARSER_FAILURE", F.lit(2000))
-        .otherwise(F.lit(0))
+        .otherwise(F.lit(max(1, base)))
         .cast("bigint")
     )
 
 
 def reschedule(pages: DataFrame, as_of: Column) -> DataFrame:
-    """Failed rows in work go back to the frontier or end: state, counters and due time. A parser failure counts only as one."""
+    """Failed rows in work go back to the frontier or end: state, counters, due time (as it was for those that end), lease and error columns. A parser failure counts only as one."""
     work = pages.where("page_type_code = 'PROCESSING'")
     parser = F.col("category") == "PARSER_FAILURE"
     d = retry_decision(F.col("category"), F.col("attempt_count"), F.col("parser_retry_count"))
@@ -103,13 +103,17 @@ def reschedule(pages: DataFrame, as_of: Column) -> DataFrame:
         F.when(again, "FRONTIER").otherwise("ERROR").alias("page_type_code"),
         F.when(again & ~parser, F.col("attempt_count") + 1).otherwise(F.col("attempt_count")).alias("attempt_count"),
         F.when(again & parser, F.col("parser_retry_count") + 1).otherwise(F.col("parser_retry_count")).alias("parser_retry_count"),
-        F.when(again, F.timestamp_add("SECOND", (F.col("delay_ms") / 1000).cast("int"), as_of)).alias("next_attempt_at"),
+        F.when(again, as_of + F.make_dt_interval(secs=(F.col("delay_ms") / 1000).cast("decimal(18,6)"))).otherwise(F.col("next_attempt_at")).alias("next_attempt_at"),
+        *[F.lit(None).cast(work.schema[c].dataType).alias(c) for c in ("claimed_by", "claimed_at", "claim_expires_at")],
+        F.col("category").alias("last_error_category"),
+        as_of.alias("last_error_at"),
     )
 
 
-def victims(pages: DataFrame, n: int) -> DataFrame:
-    """Rows that would leave a full frontier first."""
-    return pages.where("page_type_code = 'FRONTIER'").orderBy("relevance_score", F.desc_nulls_last("next_attempt_at"), F.desc("id")).limit(n)
+def victims(pages: DataFrame, n: int, hubs: bool = False) -> DataFrame:
+    """Rows that would leave a full frontier first; with hubs those that would leave for a better hub."""
+    rows = pages.where("page_type_code = 'FRONTIER'")
+    return (rows.where("github_hub_page") if hubs else rows).orderBy("relevance_score", F.desc_nulls_last("next_attempt_at"), F.desc("id")).limit(n)
 
 
 def admitted(frontier: DataFrame, offers: DataFrame, cap: int) -> DataFrame:
@@ -141,14 +145,18 @@ def admit_fold(frontier: DataFrame, offers: DataFrame, cap: int) -> DataFrame:
     return both.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: fold(pdf), "url string, relevance_score double, arrival bigint")
 
 
-def admission_reason(url_reason: Column, topics: Column, subpath: Column, hub: Column, hub_room: Column, html_room: Column, frontier_room: Column, better: Column, robots: Column) -> Column:
-    """Why a discovered URL isn't admitted, null if it is; checks in order."""
+def admission_reason(url_reason: Column, topics: Column, subpath: Column, hub: Column, hub_room: Column, html_room: Column, frontier_room: Column, better: Column, robots: Column, hub_better: Column | None = None) -> Column:
+    """Why a discovered URL isn't admitted, null if it is; checks in order. hub_room is negative where hubs aren't wanted at all. better, and hub_better among hubs, say whether it outranks the worst queued row; null: none is queued that could leave."""
+    hub_better = better if hub_better is None else hub_better
+    full = (~hub & (html_room <= 0)) | (frontier_room <= 0)
     return (
         F.when(url_reason.isNotNull(), url_reason)
         .when(topics, "GITHUB_TOPICS_PATH_BLOCKED")
         .when(subpath, "GITHUB_REPO_SUBPATH_BLOCKED")
         .when(hub & (hub_room < 0), "HUB_BUDGET_ZERO")
-        .when(hub & (hub_room == 0) & ~better, "HUB_BUDGET_LOW_SCORE")
+        .when(hub & (hub_room == 0) & hub_better.isNull(), "HUB_BUDGET_DROPPED")
+        .when(hub & (hub_room == 0) & ~hub_better, "HUB_BUDGET_LOW_SCORE")
+        .when(full & better.isNull(), "BUDGET_DROPPED")
         .when(~hub & (html_room <= 0) & ~better, "BUDGET_DROPPED")
         .when((frontier_room <= 0) & ~better, "FRONTIER_FULL_LOW_SCORE")
         .when(robots == "DISALLOWED", "ROBOTS_DISALLOWED")
@@ -178,6 +186,7 @@ def robots_window_ms(failures: Column, retry_min: int = 2, most_min: int = 10) -
 
 
 def overload_backoff_ms(failures: Column, most: int = 300_000) -> Column:
+    """The pause after so many failures in a row, this one counted: 10 s after the first."""
     return F.least(F.lit(5000) * F.pow(F.lit(2.0), F.least(failures, F.lit(20))).cast("bigint"), F.lit(most)).cast("bigint")
 
 

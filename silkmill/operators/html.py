@@ -80,5 +80,6 @@ def title(html: Column) -> Column:
 
 
 def incomplete_shell(content_type: Column, html: Column, least: int = 400) -> Column:
-    """A page that has still to be rendered: short, or without a link."""
-    return F.lower(content_type).contains("text/html") & ((F.length(F.trim(html)) < least) | ~html.contains("<a "))
+    """A page that has still to be rendered: short, or without a link; no body counts as short, and no content type as another."""
+    body = F.trim(F.coalesce(html, F.lit("")))
+    return F.lower(F.coalesce(content_type, F.lit(""))).contains("text/html") & ((F.length(body) < least) | ~F.lower(body).contains("<a "))

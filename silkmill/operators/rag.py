@@ -117,7 +117,7 @@ def prompt(question: Column, context: Column | None) -> Column:
 
 
 def rerank(hits: DataFrame, top_k: int, scorer: Scorer | None = OverlapScorer()) -> DataFrame:
-    """Hits (query_id, question, rank, body, ...) in the order of the scorer, no score last, ties by rank; as they are without a scorer."""
+    """Hits (query_id, question, rank, body, ...) in the order of the scorer, ties by rank; as they are without a scorer. A query of which a hit has no score, as where the scorer fails on a batch, keeps its order whole, without scores."""
     if scorer is None:
         s = hits.withColumn("rerank_score", F.lit(None).cast("double"))
     else:
@@ -129,7 +129,8 @@ def rerank(hits: DataFrame, top_k: int, scorer: Scorer | None = OverlapScorer())
             except Exception:  # noqa: BLE001  a scorer that fails leaves the order as it is
                 return pd.Series([None] * len(q), dtype=float)
 
-        s = hits.withColumn("rerank_score", run("question", "body"))
+        each = Window.partitionBy("query_id")
+        s = hits.withColumn("rerank_score", run("question", "body")).withColumn("rerank_score", F.when(F.count_if(F.col("rerank_score").isNull()).over(each) == 0, F.col("rerank_score")))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("rerank_score", F.lit(-1e9))), "rank")
     return s.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= top_k)
 

@@ -87,9 +87,10 @@ def discovery_blocks(s, d):
     return derived_urls(s, d).select("doc_id", urls.topics_blocked(u, HOSTS).alias("topics"), urls.subpath_blocked(u, HOSTS, CFG.deny_subpaths).alias("subpath"))
 
 
-@query(f"WITH {URLS_SQL} SELECT CASE WHEN trim(url) = '' THEN 'INVALID_URL' WHEN length(url) > 40 THEN 'URL_TOO_LONG' END AS reason, count(*) AS urls FROM urls GROUP BY 1")
+@query(f"WITH {URLS_SQL} SELECT CASE WHEN trim(url) = '' THEN 'INVALID_URL' WHEN doc_id % 7 = 0 THEN 'URL_TOO_LONG' END AS reason, count(*) AS urls FROM urls GROUP BY 1")
 def ingest_reject_reason(s, d):
-    return derived_urls(s, d).groupBy(urls.reject_reason(F.col("url"), 40).alias("reason")).agg(F.count("*").alias("urls"))
+    long = F.when((F.col("doc_id") % 7 == 0) & (F.col("url") != ""), F.concat("url", F.repeat(F.lit("x"), F.lit(3000)))).otherwise(F.col("url"))
+    return derived_urls(s, d).groupBy(urls.reject_reason(long).alias("reason")).agg(F.count("*").alias("urls"))
 
 
 @query(f"""WITH {URLS_SQL} SELECT doc_id, CASE WHEN doc_id % 10 = 8 THEN NULL WHEN {HOST} = 'www.github.com' THEN 'github.com' ELSE {HOST} END AS site FROM urls""")
@@ -243,9 +244,9 @@ def lease_recovery(s, d):
 _cats = "(ARRAY[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "])[CAST(doc_id // 3 % 10 + 1 AS INTEGER)]"
 DECIDE = """CASE WHEN category IN ('INVALID_URL', 'ROBOTS_DISALLOWED', 'FETCH_HTTP_CLIENT', 'DB_CONSTRAINT') THEN 'TERMINAL'
   WHEN category = 'PARSER_FAILURE' THEN CASE WHEN parser_retry_count < 1 THEN 'RESCHEDULE' ELSE 'TERMINAL' END
-  WHEN attempt_count + 1 < CASE WHEN category IN ('FETCH_HTTP_OVERLOAD', 'DB_TRANSIENT') THEN 5 ELSE 3 END THEN 'RESCHEDULE' ELSE 'TERMINAL' END"""
-DELAY = """CAST(CASE WHEN category IN ('FETCH_TIMEOUT', 'DB_TRANSIENT') THEN least(100 * CAST(pow(2, attempt_count) AS BIGINT), 300000) WHEN category = 'FETCH_HTTP_OVERLOAD' THEN 5000
-  WHEN category = 'FETCH_CAPACITY_EXHAUSTED' THEN least(100 * (attempt_count + 1), 30000) WHEN category = 'ROBOTS_TRANSIENT' THEN 120000 WHEN category = 'PARSER_FAILURE' THEN 2000 ELSE 0 END AS BIGINT)"""
+  WHEN attempt_count < CASE WHEN category IN ('FETCH_HTTP_OVERLOAD', 'DB_TRANSIENT') THEN 5 ELSE 3 END THEN 'RESCHEDULE' ELSE 'TERMINAL' END"""
+DELAY = """CAST(CASE WHEN category IN ('FETCH_TIMEOUT', 'DB_TRANSIENT') THEN least(100 * CAST(pow(2, attempt_count) AS BIGINT), 300000) WHEN category = 'FETCH_HTTP_OVERLOAD' THEN least(5000 * CAST(pow(2, attempt_count) AS BIGINT), 300000)
+  WHEN category = 'FETCH_CAPACITY_EXHAUSTED' THEN least(100 * (attempt_count + 1), 30000) WHEN category = 'ROBOTS_TRANSIENT' THEN 120000 WHEN category = 'PARSER_FAILURE' THEN 2000 ELSE 100 END AS BIGINT)"""
 
 
 def failing(s, d):
@@ -263,7 +264,8 @@ def retry_delay(s, d):
 
 
 @query(f"""SELECT id, category, CASE WHEN again THEN 'FRONTIER' ELSE 'ERROR' END AS page_type_code, attempt_count + CASE WHEN again AND category <> 'PARSER_FAILURE' THEN 1 ELSE 0 END AS attempt_count,
-  parser_retry_count + CASE WHEN again AND category = 'PARSER_FAILURE' THEN 1 ELSE 0 END AS parser_retry_count, CASE WHEN again THEN {AS_OF_SQL} + to_seconds(CAST(floor(delay_ms / 1000) AS INTEGER)) END AS next_attempt_at
+  parser_retry_count + CASE WHEN again AND category = 'PARSER_FAILURE' THEN 1 ELSE 0 END AS parser_retry_count, CASE WHEN again THEN {AS_OF_SQL} + to_milliseconds(delay_ms) ELSE next_attempt_at END AS next_attempt_at,
+  CAST(NULL AS VARCHAR) AS claimed_by, CAST(NULL AS TIMESTAMP) AS claimed_at, CAST(NULL AS TIMESTAMP) AS claim_expires_at, category AS last_error_category, {AS_OF_SQL} AS last_error_at
   FROM (SELECT *, {DECIDE} = 'RESCHEDULE' AS again, {DELAY} AS delay_ms FROM (SELECT *, {_cats} AS category FROM crawl_page WHERE page_type_code = 'PROCESSING'))""", pages=True)
 def reschedule(s, d):
     return frontier.reschedule(failing(s, d), as_of())
@@ -274,6 +276,11 @@ def victim_order(s, d):
     return frontier.victims(crawl_page(s, d), 10).select("id", "relevance_score")
 
 
+@query("SELECT id, relevance_score FROM crawl_page WHERE page_type_code = 'FRONTIER' AND github_hub_page ORDER BY relevance_score, next_attempt_at DESC, id DESC LIMIT 10", pages=True)
+def hub_victim_order(s, d):
+    return frontier.victims(crawl_page(s, d), 10, hubs=True).select("id", "relevance_score")
+
+
 def _offers(s, d):
     p = crawl_page(s, d).select("url", "relevance_score", F.col("id").alias("arrival"), "page_type_code")
     return p.where("page_type_code = 'FRONTIER'").drop("page_type_code"), p.where("page_type_code = 'HTML'").drop("page_type_code")
@@ -285,10 +292,12 @@ def admission_topn(s, d):
     return frontier.admitted(f, o, 60).select("url", "relevance_score")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 10 = 8 THEN 'INVALID_URL' WHEN doc_id % 10 = 0 THEN 'GITHUB_TOPICS_PATH_BLOCKED' WHEN doc_id % 10 IN (2, 3) THEN 'GITHUB_REPO_SUBPATH_BLOCKED' WHEN doc_id % 10 = 1 AND doc_id % 3 <> 0 THEN 'HUB_BUDGET_LOW_SCORE' WHEN doc_id % 7 = 0 THEN 'ROBOTS_DISALLOWED' END AS reason FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 8 THEN 'INVALID_URL' WHEN doc_id % 10 = 0 THEN 'GITHUB_TOPICS_PATH_BLOCKED' WHEN doc_id % 10 IN (2, 3) THEN 'GITHUB_REPO_SUBPATH_BLOCKED' WHEN doc_id % 10 = 1 AND hub_room = -1 THEN 'HUB_BUDGET_ZERO' WHEN doc_id % 10 = 1 AND hub_room = 0 AND doc_id % 4 = 0 THEN 'HUB_BUDGET_DROPPED' WHEN doc_id % 10 = 1 AND hub_room = 0 AND doc_id % 4 = 1 THEN 'HUB_BUDGET_LOW_SCORE'
+  WHEN (frontier_room = 0 OR (doc_id % 10 <> 1 AND html_room = 0)) AND doc_id % 9 = 0 THEN 'BUDGET_DROPPED' WHEN doc_id % 10 <> 1 AND html_room = 0 AND doc_id % 9 < 6 THEN 'BUDGET_DROPPED' WHEN frontier_room = 0 AND doc_id % 9 < 6 THEN 'FRONTIER_FULL_LOW_SCORE'
+  WHEN doc_id % 7 = 0 THEN 'ROBOTS_DISALLOWED' END AS reason FROM (SELECT doc_id, doc_id // 11 % 3 - 1 AS hub_room, doc_id // 13 % 2 AS html_room, doc_id // 17 % 2 AS frontier_room FROM documents)""")
 def discovery_admission(s, d):
     u, i = F.col("url"), F.col("doc_id")
-    r = frontier.admission_reason(urls.reject_reason(u), urls.topics_blocked(u, HOSTS), urls.subpath_blocked(u, HOSTS, ("blob", "issues")), urls.hub(u, HOSTS), F.lit(0), F.lit(1), F.lit(1), i % 3 == 0, F.when(i % 7 == 0, "DISALLOWED").otherwise("ALLOWED"))
+    r = frontier.admission_reason(urls.reject_reason(u), urls.topics_blocked(u, HOSTS), urls.subpath_blocked(u, HOSTS, ("blob", "issues")), urls.hub(u, HOSTS), F.expr("doc_id div 11 % 3 - 1"), F.expr("doc_id div 13 % 2"), F.expr("doc_id div 17 % 2"), F.when(i % 9 != 0, i % 9 >= 6), F.when(i % 7 == 0, "DISALLOWED").otherwise("ALLOWED"), F.when(i % 4 != 0, i % 4 != 1))
     return derived_urls(s, d).select("doc_id", r.alias("reason"))
 
 
@@ -402,9 +411,12 @@ def deny_gauge(s, d):
     return crawl_page(s, d).agg(F.count_if(F.col("next_attempt_at") > as_of()).alias("denied"), F.max("attempt_count").alias("worst"))
 
 
-@query("SELECT page_id, CASE WHEN length(trim(html)) < 3000 OR html NOT LIKE '%<a %' THEN TRUE ELSE FALSE END AS shell FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 5 IN (0, 1) OR page_id % 7 = 0 OR html IS NULL THEN TRUE ELSE html NOT ILIKE '%<a %' END AS shell FROM pages")
 def incomplete_shell(s, d):
-    return load(s, d, "pages").select("page_id", html.incomplete_shell(F.lit("text/html; charset=utf-8"), F.col("html"), 3000).alias("shell"))
+    """Bodies as they are, in capitals, cut short, padded with blanks, and with links taken out."""
+    i, b = F.col("page_id"), F.col("html")
+    body = F.when(i % 5 == 0, F.substring(b, 1, 399)).when(i % 5 == 1, F.concat(F.repeat(F.lit(" "), F.lit(500)), F.substring(b, 1, 300))).when(i % 7 == 0, F.regexp_replace(b, "(?i)<a ", "<b ")).when(i % 5 == 2, F.upper(b)).otherwise(b)
+    return load(s, d, "pages").select("page_id", html.incomplete_shell(F.lit("Text/HTML; charset=utf-8"), body).alias("shell"))
 
 
 # --- vectors
@@ -433,10 +445,10 @@ for _m in DIST:
 
 
 @query(f"""SELECT query_id, vec_id, distance, rank FROM (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
-  FROM (SELECT b.vec_id AS query_id, a.vec_id, round({DIST["cosine"].replace("embedding AS", "a.embedding AS").replace("q AS", "b.embedding AS")}, 6) + 0.0 AS distance FROM embeddings a, embeddings b WHERE b.vec_id < 8)) WHERE rank <= 5""")
+  FROM (SELECT b.vec_id AS query_id, a.vec_id, round({DIST["cosine"].replace("embedding AS", "a.embedding AS").replace("q AS", "b.embedding AS")}, 6) + 0.0 AS distance FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0)) WHERE rank <= 5""")
 def knn_batch(s, d):
     e = load(s, d, "embeddings")
-    return vectors.nearest_batch(e, e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)
+    return vectors.nearest_batch(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)
 
 
 @query(f"SELECT vec_id, url, distance FROM (SELECT vec_id, round({DIST['cosine']}, 6) + 0.0 AS distance FROM embeddings, {QV} WHERE label = 1 ORDER BY distance, vec_id LIMIT 5) JOIN pages ON page_id = vec_id")
@@ -613,9 +625,9 @@ def rag_context(s, d):
     return rag.contexts(hits(s, d))
 
 
-@query(f"SELECT query_id, CAST(length('Answer from the context alone and name the sources by their numbers. If it is not there, say so.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: q' || chr(10) || 'Answer:') AS BIGINT) AS chars FROM ({CONTEXT_SQL})")
+@query(f"SELECT query_id, 'Answer from the context alone and name the sources by their numbers. If it is not there, say so.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: q' || chr(10) || 'Answer:' AS prompt FROM ({CONTEXT_SQL})")
 def rag_prompt(s, d):
-    return rag.contexts(hits(s, d)).select("query_id", F.length(rag.prompt(F.lit("q"), F.col("context"))).cast("bigint").alias("chars"))
+    return rag.contexts(hits(s, d)).select("query_id", rag.prompt(F.lit("q"), F.col("context")).alias("prompt"))
 
 
 @query(f"WITH {HITS_SQL} SELECT query_id, string_agg('[' || rank || '] https://' || source || ': ' || substr(replace(body, chr(10), ' '), 1, 120) || '...', ' | ' ORDER BY rank) AS summary FROM hits WHERE rank <= 3 GROUP BY query_id")
@@ -709,8 +721,8 @@ def token_schedule(s, d):
     return stream.token_schedule(s, d)
 
 
-@query("""SELECT event_id, user_id AS domain, CASE WHEN event_type = 'error' THEN CAST(least(5000 * pow(2, row_number() OVER (PARTITION BY user_id, g ORDER BY i) - CASE WHEN g = 0 THEN 1 ELSE 2 END), 300000) AS BIGINT) ELSE 0 END AS backoff_ms
-  FROM (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS g FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events))""")
+@query("""SELECT event_id, user_id AS domain, CASE WHEN event_type = 'error' THEN CAST(least(5000 * pow(2, least(20, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY i))), 300000) AS BIGINT) WHEN event_type <> 'signup' THEN 0 END AS backoff_ms
+  FROM (SELECT *, sum(CASE WHEN event_type NOT IN ('error', 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS g FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events))""")
 def overload_backoff(s, d):
     return stream.overload_backoff(s, d)
 

@@ -58,23 +58,28 @@ def decoded(body: Column, content_type: Column) -> Column:
 
 
 def robots_rules(text: str, agent: str = "*") -> dict:
-    """allow and disallow patterns, crawl delay and sitemaps of a robots.txt."""
-    rules: dict = {"allow": [], "disallow": [], "delay": None, "sitemaps": []}
-    mine, fresh = False, True
+    """allow and disallow patterns, crawl delay and sitemaps of a robots.txt: those of the agent's own groups, and of * only where it has none."""
+    sitemaps: list[str] = []
+    groups: dict[str, dict] = {}
+    names, fresh = [], True  # the agents of the group at hand; whether rules have begun
     for line in text.splitlines():
         k, _, v = (x.strip() for x in line.split("#")[0].partition(":"))
         k = k.lower()
         if k == "user-agent":
-            mine = (not fresh and mine) if not fresh and v not in ("*", agent) else v in ("*", agent)
+            names = [v.lower()] if fresh else [*names, v.lower()]
+            groups.setdefault(v.lower(), {"allow": [], "disallow": [], "delay": None})
             fresh = False
         elif k == "sitemap":
-            rules["sitemaps"].append(v)
-        elif mine and k in ("allow", "disallow") and v:
-            rules[k].append(v)
+            sitemaps.append(v)
+        elif k in ("allow", "disallow", "crawl-delay"):
             fresh = True
-        elif mine and k == "crawl-delay" and re.fullmatch(r"\d+(\.\d+)?", v):
-            rules["delay"] = float(v)
-    return rules
+            for g in (groups[x] for x in names):
+                if k != "crawl-delay" and v:
+                    g[k].append(v)
+                elif k == "crawl-delay" and re.fullmatch(r"\d+(\.\d+)?", v):
+                    g["delay"] = float(v)
+    own = groups.get(agent.lower()) or groups.get("*") or {"allow": [], "disallow": [], "delay": None}
+    return own | {"sitemaps": sitemaps}
 
 
 def robots_allows(rules: dict, path: str) -> bool:

@@ -78,18 +78,18 @@ def token_schedule(spark: SparkSession, sf_dir: str, gap_ms: int = 5000) -> Data
     return _stateful(spark, sf_dir, fold, "event_id bigint, domain bigint, wait_us bigint", "free bigint")
 
 
-def overload_backoff(spark: SparkSession, sf_dir: str, most_ms: int = 300_000) -> DataFrame:
-    """event_id, domain, backoff_ms: errors in a row double a domain's pause, anything else ends it."""
+def overload_backoff(spark: SparkSession, sf_dir: str, most_ms: int = 300_000, overload: tuple[str, ...] = ("error",), clears: tuple[str, ...] = ("click", "purchase", "view")) -> DataFrame:
+    """event_id, domain, backoff_ms: the pause that the event sets. Each overload (429 or 503) doubles a domain's pause, 10 s for the first; answers that clear (2xx, 404, 410) end it; others leave it, and have null."""
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
         p = _ordered(pdfs)
         out = []
         for kind in p.event_type:
-            out.append(min(5000 * 2 ** min(n, 20), most_ms) if kind == "error" else 0)
-            n = n + 1 if kind == "error" else 0
+            n = n + 1 if kind in overload else 0 if kind in clears else n
+            out.append(min(5000 * 2 ** min(n, 20), most_ms) if kind in overload else 0 if kind in clears else None)
         state.update((n,))
-        yield pd.DataFrame({"event_id": p.event_id, "domain": key[0], "backoff_ms": out})
+        yield pd.DataFrame({"event_id": p.event_id, "domain": key[0], "backoff_ms": pd.array(out, "Int64")})
 
     return _stateful(spark, sf_dir, fold, "event_id bigint, domain bigint, backoff_ms bigint", "n bigint")
 

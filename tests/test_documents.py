@@ -169,3 +169,22 @@ def test_wrapper_of_all_pages(spark):
     got = {r.host: r.template for r in by.by_host(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert set(got) == {"one.com", "two.com"}
     assert '"tag": "em"' in got["one.com"] and '"tag": "em"' not in got["two.com"]
+
+
+def test_own_group_of_robots_replaces_the_general_one():
+    text = "User-agent: *\nDisallow: /a\nCrawl-delay: 9\n\nUser-agent: x\nUser-agent: Mine\nDisallow: /b\nSitemap: s"
+    own, other = readers.robots_rules(text, "mine"), readers.robots_rules(text, "else")
+    assert own == {"allow": [], "disallow": ["/b"], "delay": None, "sitemaps": ["s"]} and other["disallow"] == ["/a"] and other["delay"] == 9
+
+
+def test_rerank_falls_back_for_the_whole_query(spark):
+    class Failing:
+        def score(self, pairs):
+            if any("bad" in p for _, p in pairs):
+                raise ValueError
+            return [float(len(p)) for _, p in pairs]
+
+    rows = [(1, "q", 1, "a"), (1, "q", 2, "bad"), (1, "q", 3, "long one"), (2, "q", 1, "a"), (2, "q", 2, "abc")]
+    hits = spark.createDataFrame(rows, "query_id int, question string, rank int, body string").repartition(5, "rank", "query_id")
+    got = {(r.query_id, r.new_rank): (r["rank"], r.rerank_score) for r in rag.rerank(hits, 3, Failing()).collect()}
+    assert [got[1, k] for k in (1, 2, 3)] == [(1, None), (2, None), (3, None)]

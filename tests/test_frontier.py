@@ -49,12 +49,13 @@ def decide(spark, c, a, p=0):
 
 
 def test_retry_table(spark):
-    assert decide(spark, "FETCH_TIMEOUT", 0).d == "RESCHEDULE" and decide(spark, "FETCH_TIMEOUT", 2).d == "TERMINAL"
-    assert decide(spark, "FETCH_HTTP_OVERLOAD", 3).d == "RESCHEDULE" and decide(spark, "FETCH_HTTP_OVERLOAD", 4).d == "TERMINAL"
+    assert decide(spark, "FETCH_TIMEOUT", 2).d == "RESCHEDULE" and decide(spark, "FETCH_TIMEOUT", 3).d == "TERMINAL"
+    assert all(decide(spark, c, 2).d == "RESCHEDULE" and decide(spark, c, 3).d == "TERMINAL" for c in ("ROBOTS_TRANSIENT", "FETCH_CAPACITY_EXHAUSTED"))
+    assert decide(spark, "FETCH_HTTP_OVERLOAD", 4).d == "RESCHEDULE" and decide(spark, "FETCH_HTTP_OVERLOAD", 5).d == "TERMINAL"
     assert decide(spark, "PARSER_FAILURE", 9, 0).d == "RESCHEDULE" and decide(spark, "PARSER_FAILURE", 0, 1).d == "TERMINAL"
     assert all(decide(spark, c, 0).d == "TERMINAL" for c in frontier.FATAL)
     assert decide(spark, "FETCH_TIMEOUT", 3).ms == 800 and decide(spark, "DB_TRANSIENT", 30).ms == 300_000
-    assert decide(spark, "FETCH_HTTP_OVERLOAD", 0).ms == 5000 and decide(spark, "FETCH_CAPACITY_EXHAUSTED", 1).ms == 200 and decide(spark, "PARSER_FAILURE", 0).ms == 2000
+    assert [decide(spark, "FETCH_HTTP_OVERLOAD", n).ms for n in (0, 1, 3, 9)] == [5000, 10_000, 40_000, 300_000] and decide(spark, "INVALID_URL", 0).ms == 100 and decide(spark, "FETCH_CAPACITY_EXHAUSTED", 1).ms == 200 and decide(spark, "PARSER_FAILURE", 0).ms == 2000
 
 
 def offers(spark, *rows):
@@ -97,3 +98,28 @@ def test_first_value_is_never_overwritten(spark):
     known = spark.createDataFrame([("a", 1)], "k string, v int")
     got = {r.k: (r.v, r.inserted) for r in dedup.get_or_insert(known, spark.createDataFrame([("a", 9), ("b", 2)], "k string, v int"), "k").collect()}
     assert got == {"a": (1, False), "b": (2, True)}
+
+
+def test_reschedule_in_milliseconds(spark):
+    rows = table(spark, page(1, "PROCESSING", attempts=1), page(2, "PROCESSING", attempts=3), page(3, "PROCESSING", parser=0), page(4)).withColumn("category", F.when(F.col("id") == 3, "PARSER_FAILURE").otherwise("FETCH_TIMEOUT"))
+    got = {r.id: r for r in frontier.reschedule(rows, now()).collect()}
+    assert set(got) == {1, 2, 3} and all(r.claimed_by is None and r.claimed_at is None and r.last_error_category == r.category and r.last_error_at == NOW for r in got.values())
+    assert (got[1].next_attempt_at - NOW).total_seconds() == 0.2 and got[1].attempt_count == 2 and got[1].page_type_code == "FRONTIER"
+    assert got[2].page_type_code == "ERROR" and got[2].attempt_count == 3 and got[2].next_attempt_at == T
+    assert got[3].parser_retry_count == 1 and got[3].attempt_count == 0
+
+
+def test_hub_victims(spark):
+    p = table(spark, page(1, score=0.1), page(2, score=0.5, hub=True), page(3, score=0.4, hub=True), page(4, "HUB", score=0.0, hub=True))
+    assert [r.id for r in frontier.victims(p, 5, hubs=True).collect()] == [3, 2] and frontier.victims(p, 1).first().id == 1
+
+
+def test_admission_reasons_of_budgets(spark):
+    def why(hub, hub_room, html_room, frontier_room, better, hub_better):
+        c = lambda x, t="boolean": F.lit(x).cast(t)
+        r = frontier.admission_reason(c(None, "string"), c(False), c(False), c(hub), c(hub_room, "int"), c(html_room, "int"), c(frontier_room, "int"), c(better), c("ALLOWED", "string"), c(hub_better))
+        return spark.range(1).select(r.alias("r")).first().r
+
+    assert why(True, -1, 1, 1, True, True) == "HUB_BUDGET_ZERO" and why(True, 0, 1, 1, True, None) == "HUB_BUDGET_DROPPED" and why(True, 0, 1, 1, True, False) == "HUB_BUDGET_LOW_SCORE"
+    assert why(False, 0, 0, 1, None, None) == why(False, 0, 1, 0, None, None) == why(False, 0, 0, 0, False, None) == "BUDGET_DROPPED"
+    assert why(False, 0, 1, 0, False, None) == "FRONTIER_FULL_LOW_SCORE" and why(True, 1, 0, 1, None, None) is None and why(False, 0, 0, 0, True, None) is None
