@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.R
             yield b.slice(k, rows)
 
 
+def in_parts(of: Callable[..., pd.DataFrame], *columns: pd.Series, rows: int = 1000) -> pd.DataFrame:
+    """of the columns in parts of at most so many rows, as one frame: as slices, for pandas UDFs."""
+    parts = [of(*(c.iloc[k : k + rows] for c in columns)) for k in range(0, max(1, len(columns[0])), rows)]
+    return pd.concat(parts, ignore_index=True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, which the cluster names. Only where driver and executors are one process, as in tests, and it is unset, a folder of our own is set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, linear, logistic, named
+from .common import fresh, in_parts, linear, logistic, named
 
 
 @dataclass(frozen=True)
@@ -158,8 +158,7 @@ def _packed(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -
 
 
 def scorer(model: Model):
-    @F.pandas_udf("score double, keep boolean")
-    def score(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def of(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
         if not len(text):
             return pd.DataFrame({"score": np.zeros(0), "keep": np.zeros(0, bool)})
         empty = np.array([not isinstance(t, str) or not t.strip() for t in text])
@@ -167,6 +166,10 @@ def scorer(model: Model):
         keep = ~empty & (np.isnan(s) | (s >= model.threshold))
         return pd.DataFrame({"score": np.where(empty, 0.0, s), "keep": keep})
 
+    @F.pandas_udf("score double, keep boolean")
+    def score(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return in_parts(of, text, lang, source, n)
+
     return score
 
 

@@ -30,7 +30,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, named
+from .common import fresh, in_parts, named
 
 LEAST, MOST = -8, 12  # gains beyond these have the weight of these
 
@@ -213,14 +213,17 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
 
 
 def scorer(model: Model):
-    @F.pandas_udf("score double, windows bigint, toxic_windows bigint, toxic boolean")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    def of(texts: pd.Series) -> pd.DataFrame:
         comp = compressors(model)
         null = texts.isna().to_numpy()
         gain, counts = window_gains([t if isinstance(t, str) else "" for t in texts], model, comp)
         toxic, total, speak = decided(gain, counts, model)
         return pd.DataFrame({"score": np.where(null, np.nan, total), "windows": counts, "toxic_windows": speak, "toxic": toxic & ~null})
 
+    @F.pandas_udf("score double, windows bigint, toxic_windows bigint, toxic boolean")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        return in_parts(of, texts)
+
     return score
 
 
