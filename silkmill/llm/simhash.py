@@ -1,15 +1,15 @@
-"""SimHash near-duplicates found through a Golay code.
+"""SimHash near-duplicates: every pair of fingerprints within the distance.
 
-A document's fingerprint has 8 segments of 23 bits, signs of random projections of its distinct words, each weighted by the
-logarithm of its count. The perfect binary Golay code (23, 12, 7) decodes every 23-bit word to one of 4096 codewords; the
-codewords of a segment and of its 23 neighbours at distance one (six or one of them) are its keys, so that two segments at
-distance two or less share one. The segments are taken in four pairs; a pair's key is a key of either segment, 24 bits.
-By the pigeonhole principle fingerprints at distance 11 or less agree in a pair; beyond that recall falls slowly and is
-measured in the tests. Candidates under a key are verified by the distance of whole fingerprints, and groups are connected
-components of the verified pairs. A group's links are then counted over all pairs of its different fingerprints, in blocks.
+A document's fingerprint has 184 bits, signs of random projections of its distinct words, each weighted by the logarithm of its
+count. The bits are dealt into parts whose radii, one more each, sum to more than the distance, so that two fingerprints within
+the distance are within the radius in one part. A part of radius r has 2^(r+1) - 1 masks (covering LSH, Pagh): each bit has a vector
+of r + 1 bits, and a mask keeps the bits whose vector has an odd product with the mask's own. Any r vectors leave one that is
+orthogonal to all, so some mask keeps none of up to r bits that differ: under it both have one key, and no pair is missed.
 
-Under one key all pairs are compared, many keys at once; in a large key that holds a crowd of near copies, members near an
-earlier one stand back, and what still links clusters is compared. Nothing is capped, and no pair within a key is missed.
+Distinct fingerprints go to tasks in pairs of blocks, and a task takes a share of the masks over its two blocks. Those under one key
+are compared unless they are connected by then, so that a crowd of near copies costs little. Candidates are verified by the
+distance of whole fingerprints, groups are connected components of all pairs within it. A group's links are then counted over all
+pairs of its different fingerprints, in blocks. Nothing is capped; neither parts, blocks nor shares change a result.
 
 Defined results: rows whose doc_id isn't a whole number or whose text is null, and texts without a word (empty ones too), are left
 alone. Texts are read whole, whatever their length; one without white space is one word. Rows that repeat a doc_id and a text are
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, blocks_of_groups, by_part, connected, fresh, gathered, met, mix, named, pairs_within, partitions, runs_of, scattered, slices, spanned, whole_id, written
+from .common import BLOB_SCHEMA, blocks_of_groups, by_part, connected, forest, fresh, gathered, met, mix, named, pairs_of, pairs_within, partitions, runs_of, scattered, slices, spanned, whole_id, written
 
 SEGMENTS, BITS = 8, 23
 FINGERPRINT = SEGMENTS * BITS
@@ -43,6 +43,7 @@ class Params:
     distance: int = 28  # of the 184 bits, that near-duplicates have at most
 
 
+# golay and near_codewords, and tied and edges_of below, are what keys were made of before; only tests use them.
 def golay() -> np.ndarray:
     """Index of the codeword to which each 23-bit word decodes."""
     if not _TABLE:
@@ -91,29 +92,6 @@ def fingerprints(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8"), np.array([len(i) > 0 for i, _ in docs], bool)
 
 
-def segments(fp: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 24), axis=1, bitorder="little")[:, :FINGERPRINT].reshape(-1, SEGMENTS, BITS)
-    return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(BITS, dtype=np.uint32))
-
-
-def records(ids: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A record for each key of each fingerprint, and its whole key with the number of the pair in front."""
-    seg = segments(fp)
-    near = np.stack([near_codewords(seg[:, k]) for k in range(SEGMENTS)], 1)
-    out, keys = [], []
-    for pair in range(SEGMENTS // 2):
-        a, b = near[:, 2 * pair], near[:, 2 * pair + 1]
-        key = (a[:, :, None].astype(np.int64) << 12 | b[:, None, :]) | pair << 24
-        ok = (a[:, :, None] >= 0) & (b[:, None, :] >= 0)
-        row = np.broadcast_to(np.arange(len(ids))[:, None, None], ok.shape)[ok]
-        r = np.empty(len(row), RECORD)
-        r["key"], r["id"] = key[ok], ids[row]
-        r["a"], r["b"], r["c"] = fp[row, 0], fp[row, 1], fp[row, 2]
-        out.append(r)
-        keys.append(r["key"])
-    return np.concatenate(out), np.concatenate(keys)
-
-
 def apart(r: dict[str, np.ndarray], i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(r[c][i] ^ r[c][j]).astype(np.int16) for c in "abc")
 
@@ -198,24 +176,111 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(each, "doc_id bigint, text_hash bigint, a bigint, b bigint, c bigint")
 
 
+BLOCK = 1_000_000  # fingerprints; a task holds two blocks of 32 bytes each, and its keys
+SHARES = 12  # of the masks, where there are no more than so many pairs of blocks
+PARTS = 3  # four have a quarter of the masks, but keys of 23 bits in place of 31, which more strangers share
+
+
+def covers(most: int, parts: int) -> list[tuple[np.ndarray, list[int]]]:
+    """(bits, masks) of each part: two fingerprints that differ in at most so many bits agree under a mask of one part."""
+    g = np.random.default_rng(184)
+    dealt = np.array_split(g.permutation(FINGERPRINT), parts)
+    out = []
+    for k, at in enumerate(dealt):
+        r = (most + 1 + k) // parts - 1
+        if r >= 0:
+            vectors = g.integers(0, 1 << (r + 1), len(at))
+            odd = np.bitwise_count(np.arange(1, 1 << (r + 1))[:, None] & vectors) & 1
+            out.append((at, [sum(1 << int(i) for i in np.flatnonzero(row)) for row in odd]))
+    return out
+
+
+def merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root, the least place of each place's component, after edges (i, j)."""
+    ids, at = np.unique(np.concatenate([root[i], root[j]]), return_inverse=True)
+    to = np.arange(len(root))
+    to[ids] = ids[forest(at[: len(i)], at[len(i) :], len(ids))]
+    return to[root]
+
+
+def roots_of(words: dict[str, np.ndarray], most: int, parts: int, share: int = 0, shares: int = 1) -> np.ndarray:
+    """The least place of the component of each fingerprint, under the pairs within the distance that a share of the masks finds; all shares find all."""
+    n = len(words["a"])
+    root, low = np.arange(n), np.uint64(max(1, n.bit_length()))
+    number = 0
+    for at, masks in covers(most, parts):
+        value = np.zeros(n, np.uint64)
+        for k, bit in enumerate(at.tolist()):
+            value |= (words["abc"[bit >> 6]] >> np.uint64(bit & 63) & np.uint64(1)) << np.uint64(k)
+        for mask in masks:
+            number += 1
+            if number % shares != share:
+                continue
+            key = (value & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15) >> low << low | np.arange(n, dtype=np.uint64)
+            key.sort()
+            place = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+            start, size = runs_of(key >> low)
+            start, size = start[size > 1], size[size > 1]
+            place = place[np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)]
+            run = np.repeat(np.arange(len(size)), size)
+            big = (size >= CROWD)[run]
+            for some, of, steps in ((place, run, 1), (place[big], run[big], 32)):  # neighbours first: a crowd is then one component or few, before components are compared
+                for step in range(1, steps + 1):
+                    i, j = some[:-step], some[step:]
+                    new = (of[:-step] == of[step:]) & (root[i] != root[j])
+                    i, j = i[new], j[new]
+                    ok = apart(words, i, j) <= most
+                    if ok.any():
+                        root = merged(root, i[ok], j[ok])
+            order = np.lexsort((root[place], run))
+            place, run = place[order], run[order]
+            start, size = runs_of(run, root[place])
+            ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run)) if len(run) else np.zeros(0, np.int64)
+            end = np.repeat(start + size, size)  # of the own component, and of the run
+            last = np.repeat(ends, np.diff(np.append(0, ends)))
+            mine = np.flatnonzero(last > end)
+            for p, q in pairs_of(mine, end[mine], (last - end)[mine]):
+                i, j = place[p], place[q]
+                ok = apart(words, i, j) <= most
+                if ok.any():
+                    root = merged(root, i[ok], j[ok])
+    return root
+
+
 def near_edges(prints: DataFrame, params: Params = Params()) -> DataFrame:
     """Edges (a, b) that connect the fingerprints of each group; prints: distinct ones, as id, a, b, c."""
-    n = partitions(prints.sparkSession)
+    blocks = max(1, -(-prints.count() // BLOCK))
+    pairs = [(i, j) for i in range(blocks) for j in range(i + 1, blocks)] or [(0, 0)]  # a block's own pairs are found where it meets another
+    shares = max(1, -(-SHARES // len(pairs)))
+    rec = np.dtype([("id", "<i8"), ("a", "<u8"), ("b", "<u8"), ("c", "<u8")])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 5000):
-            fp = np.stack([b.column(i).to_numpy() for i in (1, 2, 3)], 1).view("<u8")
-            r, key = records(b.column(0).to_numpy(), fp)
-            order = np.argsort(key, kind="stable")  # sorted runs, which a part only has to merge
-            r, key = r[order], key[order]
-            yield scattered(r, (mix(key.astype(np.uint64)) % np.uint64(n)).astype(np.int64), n)
+        for b in batches:
+            r = np.empty(len(b), rec)
+            for k, c in enumerate(rec.names):
+                r[c] = b.column(k).to_numpy().view("<i8" if c == "id" else "<u8")
+            mine = mix(r["id"].astype(np.uint64)) % np.uint64(blocks)
+            for k, (i, j) in enumerate(pairs):
+                blob = r[(mine == i) | (mine == j)].tobytes()
+                if blob:
+                    yield pa.RecordBatch.from_arrays([pa.array(range(k * shares, (k + 1) * shares), pa.int32()), pa.array([blob] * shares, pa.binary())], ["part", "blob"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in gathered(batches, RECORD):
-            e = edges_of(r, params.distance)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["a", "b"])
-
-    return by_part(prints.select("id", "a", "b", "c").mapInArrow(keyed, BLOB_SCHEMA), n).mapInArrow(joined, "a bigint, b bigint")
+        blobs: list[bytes] = []
+        share = 0
+        for b in batches:
+            for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                share = part % shares
+                blobs.append(blob)
+        if blobs:
+            r = np.frombuffer(b"".join(blobs), rec)
+            blobs.clear()
+            root = roots_of({c: np.ascontiguousarray(r[c]) for c in "abc"}, params.distance, PARTS, share, shares)
+            own = root != np.arange(len(r))
+            yield pa.RecordBatch.from_arrays([pa.array(r["id"][own]), pa.array(r["id"][root[own]])], ["a", "b"])
+
+    blobs = prints.select("id", "a", "b", "c").mapInArrow(keyed, BLOB_SCHEMA)
+    return blobs.repartitionById(len(pairs) * shares, "part").mapInArrow(joined, "a bigint, b bigint")
 
 
 def link_counts(members: DataFrame, params: Params = Params()) -> DataFrame:

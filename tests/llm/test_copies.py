@@ -140,6 +140,62 @@ def test_simhash_recall_against_all_pairs(spark, docs):
         assert got[i].links == len(other) and got[i].copies == (d[k] == 0).sum()
 
 
+def flipped(rng, fp, count):
+    """fp, as n x 24 bytes, with so many of the 184 bits of each changed."""
+    bits = np.unpackbits(fp, axis=1, bitorder="little")
+    for row in bits:
+        row[rng.permutation(simhash.FINGERPRINT)[:count]] ^= 1
+    return np.packbits(bits, axis=1, bitorder="little")
+
+
+def test_every_pair_within_the_distance_is_connected(spark, monkeypatch):
+    """Pairs at exactly the distance all meet, those one beyond it don't, in one block or in many."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, (300, 24), dtype=np.uint8)
+    base[:, 23] = 0
+    most = simhash.Params().distance
+    fp = np.concatenate([base, flipped(rng, base[:200], most), flipped(rng, base[200:], most + 1)]).view("<i8")
+    rows = [(i, *map(int, x)) for i, x in enumerate(fp)]
+    prints = spark.createDataFrame(rows, "id bigint, a bigint, b bigint, c bigint")
+    for block in (simhash.BLOCK, 150):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = components(600, [(r.a, r.b) for r in simhash.near_edges(prints).collect()])
+        assert got == [*range(300), *range(200), *range(500, 600)]
+
+
+def test_masks_cover_any_parts():
+    """A crowd, chains and strangers have the components of all pairs, whatever parts and shares."""
+    rng = np.random.default_rng(7)
+    crowd = flipped(rng, np.repeat(rng.integers(0, 256, (1, 24), dtype=np.uint8), 900, 0), 14)
+    chain = [rng.integers(0, 256, (1, 24), dtype=np.uint8)]
+    for _ in range(150):
+        chain.append(flipped(rng, chain[-1], 26))
+    fp = np.concatenate([crowd, *chain, rng.integers(0, 256, (300, 24), dtype=np.uint8)])
+    fp[:, 23] = 0
+    fp = fp.view("<u8")
+    most = simhash.Params().distance
+    want = components(len(fp), np.argwhere(np.bitwise_count(fp[:, None] ^ fp[None]).sum(-1) <= most).tolist())
+    words = {c: np.ascontiguousarray(fp[:, k]) for k, c in enumerate("abc")}
+    assert len(set(want)) < 400
+    for parts in (3, 4, 5):
+        assert simhash.roots_of(words, most, parts).tolist() == want
+    shares = [simhash.roots_of(words, most, 3, k, 5).tolist() for k in range(5)]
+    assert components(len(fp), [(i, r[i]) for r in shares for i in range(len(fp))]) == want
+
+
+def test_simhash_equals_all_pairs(spark, docs):
+    """Groups are the components of all pairs within the distance, and links all of them."""
+    p = simhash.fingerprint_table(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    fp = np.ascontiguousarray(p[["a", "b", "c"]].to_numpy()).view("<u8")
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(-1)
+    near = d <= simhash.Params().distance
+    ids = p.doc_id.tolist()
+    root = components(len(p), np.argwhere(near).tolist())
+    got = {r.doc_id: (r.group_id, r.links) for r in simhash.groups(docs).collect()}
+    for k, i in enumerate(ids):
+        assert got[i] == (ids[root[k]], len({x.tobytes() for x in fp[near[k] & (d[k] > 0)]}))
+
+
 def test_simhash_keeps_texts_of_one_id(spark):
     """Rows of one doc_id and different texts are documents of their own; a repeated row is one; a string id that isn't a number is left alone."""
     a, b = "alpha beta gamma delta epsilon zeta eta theta", "a wholly different document with other words in it"
