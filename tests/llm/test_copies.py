@@ -348,6 +348,38 @@ def test_copies_by_edits(spark):
     assert got[1000].group_id == 0 and got[0].copies == got[1000].copies == 2 and 1001 not in got and len(got) == 181
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("abé", max_size=150), st.text("abé", max_size=150), st.integers(0, 60))
+def test_edit_distance_stops_only_beyond(a, b, most):
+    assert min(editprint.edit_distance(a, b, most), most + 1) == min(levenshtein(a, b), most + 1)
+
+
+def test_all_candidates_of_a_key():
+    """All pairs within the distance, under keys of few records and of more than once made a crowd, whatever crowd is."""
+    rng = np.random.default_rng(3)
+    params = editprint.Params(crowd=100)
+    r = np.zeros(505, editprint.RECORD)
+    r["id"], r["key"], r["size"] = np.arange(505) % 500, np.arange(505) < 5, rng.integers(80, 120, 505)
+    r["s"] = rng.integers(0, 1 << 63, (1, 4)).astype(np.uint64) ^ (rng.integers(0, 1 << 63, (505, 4)) & rng.integers(0, 1 << 63, (505, 4))).astype(np.uint64)
+    want = set()
+    for i in range(505):
+        for j in range(i):
+            near = np.bitwise_count(r["s"][i] ^ r["s"][j]).sum() <= params.candidate and abs(int(r["size"][i]) - int(r["size"][j])) <= 0.2 * max(r["size"][i], r["size"][j])
+            if r["key"][i] == r["key"][j] and r["id"][i] != r["id"][j] and near:
+                want.add((min(int(r["id"][i]), int(r["id"][j])), max(int(r["id"][i]), int(r["id"][j]))))
+    got = editprint.candidates(r, params)
+    assert {tuple(x) for x in got.tolist()} == want and len(got) == len(want) > 10_000
+
+
+def test_links_are_of_all_copies(spark):
+    """Copies of one text, more than four and each a few edits from the others, are all linked to each other."""
+    rng = random.Random(12)
+    a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(900))
+    rows = [(k, a[: 20 * k + 5] + "z" + a[20 * k + 6 :]) for k in range(40)]
+    got = editprint.copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 40 and all(r.group_id == 0 and r.links == 39 and r.distance in (1, 2) for r in got)
+
+
 def test_a_crowd_is_tied():
     rng = np.random.default_rng(2)
     r = np.zeros(300, editprint.RECORD)
