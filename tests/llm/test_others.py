@@ -2,8 +2,10 @@ import gzip
 import itertools
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -54,6 +56,21 @@ def test_sentencepiece_odd_rows(odd, none):
     assert sp.encoded(none).count() == 0 and sp.decoded(sp.encoded(odd)).count() == 10
 
 
+def test_encoding_in_parts_of_text(vocabulary, library):
+    """A batch of long texts of different words takes a worker little more than a part of it does."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(bytes(rng.integers(97, 123, 6).tolist()).decode() for _ in range(300)) for _ in range(2000)] + [None, "", "x " * 800_000]
+    vocabulary.tables()
+    tracemalloc.start()
+    got = list(sp.encoded_batches(iter([pa.RecordBatch.from_arrays([pa.array(range(2003)), pa.array(texts)], ["doc_id", "text"])]), vocabulary))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(2003)) and rows[2000]["ids"] is None and rows[2001]["ids"] == []
+    assert [r["ids"] for r in rows[:50] + rows[2002:]] == library.encode(texts[:50] + texts[2002:])
+
+
 # --- packing
 
 
