@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, by_part, fresh, gathered, mix, named, partitions, scattered, whole_id, written
+from .common import BLOB_SCHEMA, by_part, fresh, gathered, mix, named, partitions, scattered, text_slices, whole_id, written
 
 RECORD = np.dtype([("key", "<u4"), ("sketch", "<u4"), ("hash", "<i8")])
 INDEX = np.uint32(1)  # lowest bit of the key: an index row, and not a probe
@@ -215,18 +215,21 @@ def line_table(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "text_hash", F.posexplode("l").alias("line_no", "line")).where(F.col("line").rlike(SOLID)).withColumn("line", F.rtrim("line", F.lit("\r")))
 
 
+def key_batches(batches: Iterator[pa.RecordBatch], n: int, params: Params = Params()) -> Iterator[pa.RecordBatch]:
+    """The records of batches of lines and their hashes, by part of n. Keys take some 40 bytes a character, so that text and not only lines are bounded."""
+    for b in text_slices(batches, 0):
+        r, key = keyed(b.column(0).to_pylist(), b.column(1).to_numpy(), params)
+        order = np.argsort(r["key"], kind="stable")  # sorted runs, which a part only has to merge
+        r, key = r[order], key[order]
+        yield scattered(r, (key % np.uint64(n)).astype(np.int64), n)
+
+
 def near_pairs(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """a, b, xxhash64 of lines: pairs that may be near copies."""
     n = partitions(docs.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, len(whole), 20_000):
-                b = whole.slice(k, 20_000)
-                r, key = keyed(b.column(0).to_pylist(), b.column(1).to_numpy(), params)
-                order = np.argsort(r["key"], kind="stable")  # sorted runs, which a part only has to merge
-                r, key = r[order], key[order]
-                yield scattered(r, (key % np.uint64(n)).astype(np.int64), n)
+        yield from key_batches(batches, n, params)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in gathered(batches, RECORD):

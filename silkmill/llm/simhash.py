@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, blocks_of_groups, by_part, connected, forest, fresh, gathered, met, mix, named, pairs_of, pairs_within, partitions, runs_of, scattered, slices, spanned, whole_id, written
+from .common import BLOB_SCHEMA, blocks_of_groups, by_part, connected, forest, fresh, gathered, met, mix, named, pairs_of, pairs_within, partitions, runs_of, scattered, spanned, text_slices, whole_id, written
 
 SEGMENTS, BITS = 8, 23
 FINGERPRINT = SEGMENTS * BITS
@@ -162,18 +162,20 @@ def edges_of(r: np.ndarray, most: int) -> np.ndarray:
     return spanned(e[:, 0], e[:, 1])
 
 
+def print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text_hash and a, b, c of batches of doc_id, text_hash and text; those without words are left out. Text is bounded, as its words and their signs take more than it."""
+    for b in text_slices(batches, 2, rows=2000):
+        fp, ok = fingerprints(b.column(2).to_pylist())
+        keep = pa.array(ok)
+        f = fp[ok].view("<i8")
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(3))], ["doc_id", "text_hash", "a", "b", "c"])
+
+
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and a, b, c for each document that has words."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            fp, ok = fingerprints(b.column(2).to_pylist())
-            keep = pa.array(ok)
-            f = fp[ok].view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(3))], ["doc_id", "text_hash", "a", "b", "c"])
-
     d = docs.select(whole_id("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
-    return d.mapInArrow(each, "doc_id bigint, text_hash bigint, a bigint, b bigint, c bigint")
+    return d.mapInArrow(print_batches, "doc_id bigint, text_hash bigint, a bigint, b bigint, c bigint")
 
 
 BLOCK = 1_000_000  # fingerprints; a task holds two blocks of 32 bytes each, and its keys

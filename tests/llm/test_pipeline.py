@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -44,6 +47,28 @@ def test_queries_are_registered():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
 
 
+@pytest.mark.parametrize("of, most", [(lambda b: linededup.key_batches(b, 4), 150e6), (simhash.print_batches, 90e6)])
+def test_workers_hold_bounded_text(of, most):
+    """A batch of long texts takes a worker about what one part of it does, and gives what one row at a time does."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(bytes(rng.integers(97, 123, 6).tolist()).decode() for _ in range(600)) for _ in range(1200)]
+    columns = [pa.array(texts), pa.array(range(1200))] if most > 100e6 else [pa.array(range(1200)), pa.array(range(1200)), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, list("xyz")[: len(columns)])
+    list(of(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    got = list(of(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < most
+    one = [r for k in range(100) for b in of(iter([batch.slice(k, 1)])) for r in b.to_pylist()]
+    if "blob" not in one[0]:
+        assert pa.Table.from_batches(got).to_pylist()[:100] == one
+    else:
+        few = [r for b in of(iter([batch.slice(0, 100)])) for r in b.to_pylist()]
+        records = lambda rows: sorted((r["part"], x) for r in rows for x in np.frombuffer(r["blob"], linededup.RECORD).tolist())
+        assert records(few) == records(one)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_components(spark, seed):
     rng = np.random.default_rng(seed)
