@@ -2,10 +2,12 @@
 
 Every line that isn't blank is split into threshold + 1 segments, each a key together with its number and the line's length.
 A line looks up, for its own and each smaller length within the threshold, the substrings that such a line's segments can
-equal within the threshold (the multi-match-aware windows), so that no pair within the threshold is missed. Pairs under one
+equal within the threshold (the multi-match-aware windows), so that no pair within the threshold is missed. Of lines of one
+length each pair is looked up one way round only: equal segments at one place are one key, and shifts go forward. Pairs under one
 key whose character-parity sketches differ in more bits than the edits allow are left out; the rest are verified by a
 banded bit-parallel edit distance. A line goes if an earlier line, by (doc_id, line number), is equal to it or within
-the threshold. The threshold grows with length: 0 under 12 characters, 1 under 24, then 2; a pair has that of its shorter line.
+the threshold. One pass over the documents makes the keys and the lines' places, which are sorted by hash for exact copies; a
+second reads only documents that hold the first of a candidate line. The threshold grows with length: 0 under 12 characters, 1 under 24, then 2; a pair has that of its shorter line.
 
 Defined results: null texts, blank lines (of white space of any kind: a CRLF text's empty lines too) and rows whose doc_id isn't a
 whole number are left as they are. A carriage return at a line's end belongs to the break and is not compared. Rows that repeat a
@@ -25,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, by_part, fresh, gathered, mix, named, partitions, scattered, text_slices, whole_id, written
+from .common import BLOB_SCHEMA, fresh, mix, named, pairs_of, partitions, runs_of, scattered, text_slices, whole_id, written
 
 RECORD = np.dtype([("key", "<u4"), ("sketch", "<u4"), ("hash", "<i8")])
-INDEX = np.uint32(1)  # lowest bit of the key: an index row, and not a probe
+PLACE = np.dtype([("h", "<i8"), ("g", "<i8"), ("doc", "<i8"), ("text", "<i8"), ("line", "<i4")])
+PROBE = np.uint32(1)  # lowest bit of the key: a probe, and not an index row
+MET = "what int, a bigint, b bigint, doc_id bigint, text_hash bigint, line_no int, kept_doc_id bigint, kept_line_no int"
+PAIR, FIRST, EXACT = range(3)  # what: a and b may be near copies; the first place of a line of hash a; a place that isn't the first of its line
 BROADCAST_ROWS = 1_000_000  # hashes, 8 bytes each; more are joined by a shuffle
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,12 +49,16 @@ def threshold(length: np.ndarray, params: Params) -> np.ndarray:
 
 
 def windows(tau: int) -> list[tuple[int, int, int]]:
-    """(delta, segment, shift): the substring at a segment's place plus shift is looked up among lines shorter by delta."""
+    """(delta, segment, shift): the substring at a segment's place plus shift is looked up among lines shorter by delta.
+
+    Of two lines of one length, the one's segment that lies further on in the other lies further back the other way round: one way
+    is enough. Segments at the same place need no probe, as their index rows have one key.
+    """
     out = []
     for delta in range(tau + 1):
         for i in range(tau + 1):
             low, high = max(-i, delta - (tau - i)), min(i, delta + (tau - i))
-            out += [(delta, i, s) for s in range(low, high + 1)]
+            out += [(delta, i, s) for s in range(low if delta else 1, high + 1)]
     return out
 
 
@@ -88,7 +97,7 @@ def keyed(lines: list[str], hashes: np.ndarray, params: Params = Params()) -> tu
             h = (prefix[s + size] - prefix[s]) * q[s]
             h = mix(h ^ mix(length.astype(np.uint64) * np.uint64(64) + np.uint64(seg * 4 + tau)))
         r = np.empty(len(rows), RECORD)
-        r["key"] = (h.astype(np.uint32) & ~INDEX) | (INDEX if index else np.uint32(0))
+        r["key"] = (h.astype(np.uint32) & ~PROBE) | (np.uint32(0) if index else PROBE)
         r["sketch"], r["hash"] = sketch[rows], hashes[rows]
         out.append(r)
         keys.append(h >> np.uint64(32))
@@ -115,29 +124,40 @@ def keyed(lines: list[str], hashes: np.ndarray, params: Params = Params()) -> tu
     return np.concatenate(out), np.concatenate(keys)
 
 
-def candidates(r: np.ndarray, most_bits: int = 4, step: int = 500_000) -> np.ndarray:
-    """Pairs of hashes (less, greater) of the records of one part that share a key and whose sketches are near."""
-    is_index = (r["key"] & INDEX) == INDEX
-    x = np.unique(r[is_index])
-    y = np.unique(r[~is_index])
-    key = x["key"] ^ INDEX
-    order = np.argsort(key, kind="stable")
-    x, key = x[order], key[order]
-    lo, hi = np.searchsorted(key, y["key"], "left"), np.searchsorted(key, y["key"], "right")
-    count = hi - lo
-    found = []
-    ends = np.cumsum(count)
-    at = 0
-    while at < len(y):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
-        c = count[at:stop]
-        j = np.repeat(np.arange(at, stop), c)
-        i = np.arange(len(j)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[at:stop], c)
-        ok = (x["hash"][i] != y["hash"][j]) & (np.bitwise_count(x["sketch"][i] ^ y["sketch"][j]) <= most_bits)
-        pair = np.stack([x["hash"][i[ok]], y["hash"][j[ok]]], 1)
-        found.append(np.unique(np.sort(pair, axis=1), axis=0))
-        at = stop
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+def candidates(r: np.ndarray, most_bits: int = 4) -> np.ndarray:
+    """Pairs of hashes (less, greater) of the records of one part that share a key, one of them an index row, and whose sketches are near."""
+    found = [np.zeros((0, 2), np.int64)]
+    order = np.sort(r["key"].astype(np.uint64) << np.uint64(32) | np.arange(len(r), dtype=np.uint64))
+    key, order = (order >> np.uint64(32)).astype(np.uint32), (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    start, size = runs_of(key | PROBE)
+    some = np.repeat((size > 1) & (key[start] & PROBE == 0), size)  # most keys have one row, or no index row
+    key, order = key[some], order[some]
+    again = np.lexsort((r["hash"][order], key))
+    key, order = key[again], order[again]
+    once = np.append(True, (key[1:] != key[:-1]) | (r["hash"][order[1:]] != r["hash"][order[:-1]]))[: len(key)]
+    key, x = key[once], r[order[once]]
+    hashes, sketch = np.ascontiguousarray(x["hash"]), np.ascontiguousarray(x["sketch"])
+    start, size = runs_of(key | PROBE)  # index rows come first
+    rows = np.add.reduceat((key & PROBE == 0).astype(np.int64), start) if len(start) else size
+    at = np.arange(len(key))
+    for j, i in pairs_of(at, np.repeat(start, size), np.minimum(at - np.repeat(start, size), np.repeat(rows, size))):
+        ok = (np.bitwise_count(sketch[i] ^ sketch[j]) <= most_bits) & (hashes[i] != hashes[j])
+        if ok.any():
+            found.append(np.unique(np.sort(np.stack([hashes[i[ok]], hashes[j[ok]]], 1), axis=1), axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def placed(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places of one part, each once: the first of each line, those that aren't, and the first of the line of each of those."""
+    r = r[np.lexsort((r["text"], r["line"], r["doc"], r["g"], r["h"]))]
+    same = np.ones((2, max(0, len(r) - 1)), bool)
+    for k, columns in enumerate((("h", "g"), ("doc", "line", "text"))):
+        for c in columns:
+            same[k] &= r[c][1:] == r[c][:-1]
+    first = np.append(True, ~same[0])[: len(r)]
+    of = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+    later = np.flatnonzero(~first & ~np.append(False, same.all(0))[: len(r)])
+    return r[first], r[later], r[of[later]]
 
 
 def edit_distances(a: list[str], b: list[str], most: int) -> np.ndarray:
@@ -209,35 +229,60 @@ def _band(a: list[str], b: list[str], n1: np.ndarray, n2: np.ndarray, most: int)
 SOLID = r"(?U)\S"  # a character that isn't white space
 
 
+def solid(c: str):
+    """Whether a text has such a character: most lines begin with a printable one of ASCII, and the expression needn't be tried."""
+    return F.ascii(c).between(33, 126) | F.col(c).rlike(SOLID)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no, line of the lines that aren't blank."""
     d = docs.select(whole_id("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.split(F.col("text"), "\n").alias("l")).where("doc_id is not null and l is not null")
-    return d.select("doc_id", "text_hash", F.posexplode("l").alias("line_no", "line")).where(F.col("line").rlike(SOLID)).withColumn("line", F.rtrim("line", F.lit("\r")))
+    return d.select("doc_id", "text_hash", F.posexplode("l").alias("line_no", "line")).where(solid("line")).withColumn("line", F.rtrim("line", F.lit("\r")))
 
 
 def key_batches(batches: Iterator[pa.RecordBatch], n: int, params: Params = Params()) -> Iterator[pa.RecordBatch]:
     """The records of batches of lines and their hashes, by part of n. Keys take some 40 bytes a character, so that text and not only lines are bounded."""
     for b in text_slices(batches, 0):
         r, key = keyed(b.column(0).to_pylist(), b.column(1).to_numpy(), params)
-        order = np.argsort(r["key"], kind="stable")  # sorted runs, which a part only has to merge
-        r, key = r[order], key[order]
-        yield scattered(r, (key % np.uint64(n)).astype(np.int64), n)
+        yield scattered(r, (key % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int64), n)  # sixteen bits are sorted by radix
 
 
-def near_pairs(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """a, b, xxhash64 of lines: pairs that may be near copies."""
+def met(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """What comes of all lines by their keys and hashes, in one pass over the documents: pairs that may be near copies, each line's first place, and all other places. Parts from n on are of places."""
     n = partitions(docs.sparkSession)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from key_batches(batches, n, params)
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from key_batches(iter([b]), n, params)
+            r = np.empty(len(b), PLACE)
+            for k, c in enumerate(PLACE.names):
+                r[c] = b.column(k + 1).to_numpy()
+            yield scattered(r, n + r["h"] % n, n)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in gathered(batches, RECORD):
-            c = candidates(r)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[:, 0])), pa.array(np.ascontiguousarray(c[:, 1]))], ["a", "b"])
-
-    lines = line_table(docs).select("line", F.xxhash64("line").alias("h"))
-    return by_part(lines.mapInArrow(keys, BLOB_SCHEMA), n).mapInArrow(joined, "a bigint, b bigint").distinct()
+        have: dict[int, list[bytes]] = {}
+        for b in batches:
+            for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                have.setdefault(p, []).append(x)
+        for p in sorted(have):
+            raw = b"".join(have.pop(p))
+            if p < n:
+                c = candidates(np.frombuffer(raw, RECORD))
+                yield met_batch(PAIR, len(c), a=c[:, 0], b=c[:, 1])
+            else:
+                first, later, of = placed(np.frombuffer(raw, PLACE))
+                yield met_batch(FIRST, len(first), a=first["h"], doc_id=first["doc"], text_hash=first["text"], line_no=first["line"])
+                yield met_batch(EXACT, len(later), doc_id=later["doc"], text_hash=later["text"], line_no=later["line"], kept_doc_id=of["doc"], kept_line_no=of["line"])
+
+    lines = line_table(docs).select("line", F.xxhash64("line").alias("h"), F.xxhash64(F.reverse("line")).alias("g"), "doc_id", "text_hash", "line_no")
+    return lines.mapInArrow(records, BLOB_SCHEMA).repartitionById(n, F.col("part") % n).mapInArrow(joined, MET)
+
+
+def met_batch(what: int, rows: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of MET with some of its columns."""
+    columns = {"what": np.full(rows, what, np.int32)} | columns
+    kinds = {c: pa.int64() if t == "bigint" else pa.int32() for c, t in (x.split() for x in MET.split(", "))}
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(columns[c]), t) if c in columns else pa.nulls(rows, t) for c, t in kinds.items()], list(kinds))
 
 
 def dropped_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -247,16 +292,17 @@ def dropped_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 def dropped(docs: DataFrame, params: Params) -> DataFrame:
     """As dropped_lines, and with the hash of the text that the line is of."""
-    lines = line_table(docs)
-    place = F.struct("doc_id", "line_no", "text_hash")
-    seen = lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.reverse("line")).alias("g"))
-    first = written(seen.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
-    pairs = written(near_pairs(docs, params), "pairs")
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    wanted = written(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:  # the lines' texts then stay where they are but for those looked for
-        wanted = F.broadcast(wanted)
-    texts = lines.withColumn("h", F.xxhash64("line")).join(wanted, "h").groupBy("h").agg(F.min("line").alias("line"))
+    lines = written(met(docs, params), "lines")
+    pairs = written(lines.where(F.col("what") == PAIR).select("a", "b").distinct(), "pairs")
+    wanted = written(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS  # the lines' texts then stay where they are but for those looked for
+    hashes = F.broadcast(wanted) if few else wanted
+    first = written(lines.where(F.col("what") == FIRST).select(F.col("a").alias("h"), "doc_id", "line_no", "text_hash").join(hashes, "h"), "first")
+    held = docs
+    if few:
+        gid = fresh(docs, "__id")
+        held = docs.join(F.broadcast(first.select(F.col("doc_id").alias(gid)).distinct()), whole_id("doc_id") == F.col(gid), "left_semi")
+    texts = line_table(held).withColumn("h", F.xxhash64("line")).join(hashes, "h").groupBy("h").agg(F.min("line").alias("line"))
     texts = written(texts, "texts")
 
     @F.pandas_udf("boolean")
@@ -266,13 +312,12 @@ def dropped(docs: DataFrame, params: Params) -> DataFrame:
         return pd.Series(edit_distances(x.tolist(), y.tolist(), 2) <= tau) if len(x) else pd.Series([], dtype=bool)
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").where(near("x", "y")).select("a", "b")
-    f = first.groupBy("h").agg(F.min("first").alias("first"))
+    f = first.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first"))
     sided = both.join(f.toDF("a", "fa"), "a").join(f.toDF("b", "fb"), "b")
     later = sided.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h"), F.least("fa", "fb").alias("of")).groupBy("h").agg(F.min("of").alias("of"))
-    copies = first.join(later, "h", "left").where("n > 1 or of is not null")
-    out = seen.join(copies, ["h", "g"]).withColumn("place", place).where("place <> first or of is not null")
-    kept = F.when(F.col("place") != F.col("first"), F.col("first")).otherwise(F.col("of"))
-    return out.select("doc_id", "text_hash", "line_no", kept.alias("k"), F.when(F.col("place") != F.col("first"), "exact").otherwise("near").alias("kind")).distinct().select("doc_id", "text_hash", "line_no", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.line_no").alias("kept_line_no"), "kind")
+    near_ones = first.join(later, "h").select("doc_id", "text_hash", "line_no", F.col("of.doc_id").alias("kept_doc_id"), F.col("of.line_no").alias("kept_line_no"), F.lit("near").alias("kind"))
+    exact = lines.where(F.col("what") == EXACT).select("doc_id", "text_hash", "line_no", "kept_doc_id", "kept_line_no", F.lit("exact").alias("kind"))
+    return exact.union(near_ones)
 
 
 def without_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:

@@ -74,6 +74,41 @@ def test_lines_against_brute_force(spark):
                 assert kept[i] == t
 
 
+def test_lines_meet_one_way_round():
+    """All pairs within the threshold are candidates, with eleven records a long line: those of one length need no probe at the same place, nor one each way."""
+    rng = random.Random(14)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([11, 12, 13, 22, 23, 24, 25, 26, 40, 90]))) for _ in range(30)]
+    lines = sorted({noisy(rng, rng.choice(base)) for _ in range(500)} - {""})
+    r, key = linededup.keyed(lines + lines[:50], np.array([*range(len(lines)), *range(50)], np.int64))
+    long_ = [x for x in lines if len(x) > 26]
+    assert len(r) == len(key) and len(linededup.keyed(long_, np.arange(len(long_)))[0]) == 11 * len(long_)
+    got = {tuple(x) for x in linededup.candidates(r).tolist()}
+    assert all(a < b for a, b in got)
+    for j, y in enumerate(lines):
+        for i, x in enumerate(lines[:j]):
+            tau = int(linededup.threshold(np.array([min(len(x), len(y))]), linededup.Params())[0])
+            assert not tau or abs(len(x) - len(y)) > tau or levenshtein(x, y) > tau or (i, j) in got
+    assert len(linededup.candidates(r[:0])) == 0
+
+
+def test_places_of_lines():
+    """The first place of each line, and the others once each, by all four columns; signs of ids and hashes count."""
+    rng = np.random.default_rng(5)
+    r = np.zeros(400, linededup.PLACE)
+    for c in linededup.PLACE.names:
+        r[c] = rng.integers(-2, 3, 400)
+    r["line"] += 2
+    want = {}
+    for h, g, doc, text, line in r.tolist():
+        want.setdefault((h, g), set()).add((doc, line, text))
+    first, later, of = linededup.placed(r)
+    assert {(h, g): (doc, line, text) for h, g, doc, text, line in first.tolist()} == {k: min(v) for k, v in want.items()} and len(first) == len(want)
+    got = [((h, g), (doc, line, text)) for h, g, doc, text, line in later.tolist()]
+    assert sorted(got) == sorted((k, x) for k, v in want.items() for x in v if x != min(v))
+    assert [(k, min(want[k])) for k, _ in got] == [((h, g), (doc, line, text)) for h, g, doc, text, line in of.tolist()]
+    assert [len(x) for x in linededup.placed(r[:0])] == [0, 0, 0]
+
+
 def test_texts_of_one_id(spark):
     """Lines are taken out of the text that they are of, and not of another with the same id."""
     one = "a line that is long enough to be compared"
