@@ -389,6 +389,44 @@ def test_edit_distance_stops_only_beyond(a, b, most):
     assert min(editprint.edit_distance(a, b, most), most + 1) == min(levenshtein(a, b), most + 1)
 
 
+def test_edits_of_many_pairs():
+    """Batches give what each pair by itself gives, over the ends of words, for signs that one text lacks, and whatever share is left open first."""
+    rng = random.Random(15)
+    params = editprint.Params()
+    texts = []
+    for n in [1, 3, 20, 63, 64, 65, 127, 128, 200, 400] * 3:
+        x = "".join(rng.choice("abcdé😀 ") for _ in range(n))
+        texts.append(x)
+        for share in (0.02, 0.1, 0.19, 0.25):
+            y = list(x)
+            for _ in range(int(n * share)):
+                y[rng.randrange(len(y))] = rng.choice(["", "z", "zz", "a"])
+            texts.append("".join(y) or "q")
+    a, b = np.triu_indices(len(texts), 1)
+    want = np.array([editprint.edits_apart(texts[i], texts[j], params) for i, j in zip(a, b, strict=True)])
+    assert (editprint.edits_of_pairs(texts, a, b, params) == want).all() and (want >= 0).sum() > 150
+    size = np.array(list(map(len, texts)))
+    a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    most = (params.edits * size[b]).astype(int)
+    ok = size[b] - size[a] <= most
+    a, b, most, want = a[ok], b[ok], most[ok], want[ok]
+    assert (editprint.banded(texts, a, b, size, most) == want).all()
+    some = editprint.banded(texts, a, b, size, most, 0.5)
+    assert (some == editprint.OPEN).any() and ((some == want) | (some == editprint.OPEN)).all()
+    assert editprint.banded(texts, a, b, size, most, signs=3) is None
+    assert len(editprint.edits_of_pairs([], a[:0], b[:0], params)) == 0
+
+
+def test_texts_of_a_band_have_one_home():
+    """The home of a text is the key that most texts share with it, so that those compared under it meet in one part."""
+    r = np.zeros(26, editprint.RECORD)
+    r["id"] = [*range(10), *range(10), 0, 1, 20, 21, 22, 23]
+    r["key"] = np.array([1] * 10 + [2, 2, 2, 3, 3, 3, 4, 5, 6, 7] + [8, 8, 9, 9, 10, 11], np.uint64) << np.uint64(40)
+    got = dict(editprint.homes(r).tolist())
+    assert set(got) == {*range(10), 20, 21} and len({got[i] for i in range(10)}) == 1 and got[20] == got[21] != got[0]
+    assert got[0] >> 38 == 10 and got[20] >> 38 == 2 and len(editprint.homes(r[:0])) == 0
+
+
 def test_all_candidates_of_a_key():
     """All pairs within the distance, under keys of few records and of more than once made a crowd, whatever crowd is."""
     rng = np.random.default_rng(3)
