@@ -21,7 +21,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / (norm(a) * norm(b))
+    """NaN, which sorts last, where a vector has no length."""
+    n = norm(a) * norm(b)
+    return F.when(n == 0, F.lit(float("nan"))).otherwise(1 - dot(a, b) / F.nullif(n, F.lit(0.0)))
 
 
 def l2(a: Column, b: Column) -> Column:

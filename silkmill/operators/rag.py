@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -29,6 +30,11 @@ class Scorer(Protocol):
     def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
 
 
+@lru_cache(100_000)
+def hashed(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+
+
 @dataclass(frozen=True)
 class HashingBackend:
     """Stands in for a sentence encoder: hashed words, unit length."""
@@ -38,9 +44,8 @@ class HashingBackend:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                out[i, h % self.dim] += 1 if h >> 40 & 1 else -1
+            h = np.fromiter(map(hashed, t.lower().split()), np.uint64)
+            out[i] = np.bincount((h % np.uint64(self.dim)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0), self.dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

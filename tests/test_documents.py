@@ -188,3 +188,11 @@ def test_rerank_falls_back_for_the_whole_query(spark):
     hits = spark.createDataFrame(rows, "query_id int, question string, rank int, body string").repartition(5, "rank", "query_id")
     got = {(r.query_id, r.new_rank): (r["rank"], r.rerank_score) for r in rag.rerank(hits, 3, Failing()).collect()}
     assert [got[1, k] for k in (1, 2, 3)] == [(1, None), (2, None), (3, None)]
+
+
+def test_search_among_texts_without_a_vector(spark):
+    segs = spark.createDataFrame([(1, "cats sleep", "v4"), (2, " ", "v4"), (3, "", "v4")], "segment_id bigint, body string, strategy string")
+    q = spark.createDataFrame([(0, "cats"), (1, "")], "query_id bigint, question string")
+    got = rag.search(rag.embed(segs, "body"), q, rag.Retrieval(strategy="v4", rerank=False)).collect()
+    assert {(r.query_id, r.segment_id, r["rank"]) for r in got} == {(0, 1, 1), (0, 2, 2), (0, 3, 3), (1, 1, 1), (1, 2, 2), (1, 3, 3)}
+    assert [r.segment_id for r in got if r.distance == r.distance] == [1]
