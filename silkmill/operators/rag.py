@@ -101,13 +101,18 @@ def embed(rows: DataFrame, text_col: str, backend: EmbeddingBackend = HashingBac
     return rows.withColumn(out, run(text_col))
 
 
+def trimmed(c: str) -> Column:
+    """Without blanks at either end: those of Unicode's class Zs, as in SQL's trim, and so no line breaks or tabs."""
+    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def header(rank: Column, url: Column, segment: Column, page: Column, score: Column) -> Column:
     return F.format_string("[%d] URL: %s | segment_id: %d | page_id: %d | score: %.4f", rank, url, segment, page, score)
 
 
 def contexts(hits: DataFrame, max_chars: int = 7000) -> DataFrame:
     """query_id, context: blocks of ranked hits (query_id, rank, head, body) joined by blank lines, as many from the first on as fit; if not even the first does, its beginning."""
-    b = hits.withColumn("block", F.concat("head", F.lit("\n"), F.trim("body")))
+    b = hits.withColumn("block", F.concat("head", F.lit("\n"), trimmed("body")))
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumn("upto", F.sum(F.length("block")).over(w) + 2 * (F.col("rank") - 1))
     kept = b.where((F.col("upto") <= max_chars) | (F.col("rank") == 1))
@@ -184,8 +189,8 @@ def answer(spark: SparkSession, segs: DataFrame, question: str, mode: str = "rag
 
 
 def summaries(hits: DataFrame) -> DataFrame:
-    """query_id, summary of the first three hits (query_id, rank, url, body)."""
-    s = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "url", F.lit(": "), F.substring(F.replace("body", F.lit("\n"), F.lit(" ")), 1, 120), F.lit("..."))
+    """query_id, summary of the first three hits (query_id, rank, url, body): the start of each trimmed body."""
+    s = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "url", F.lit(": "), F.substring(F.replace(trimmed("body"), F.lit("\n"), F.lit(" ")), 1, 120), F.lit("..."))
     top = hits.where("rank <= 3").select("query_id", F.struct("rank", s.alias("s")).alias("r"))
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["s"]), " | ").alias("summary"))
 

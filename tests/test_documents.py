@@ -196,3 +196,9 @@ def test_search_among_texts_without_a_vector(spark):
     got = rag.search(rag.embed(segs, "body"), q, rag.Retrieval(strategy="v4", rerank=False)).collect()
     assert {(r.query_id, r.segment_id, r["rank"]) for r in got} == {(0, 1, 1), (0, 2, 2), (0, 3, 3), (1, 1, 1), (1, 2, 2), (1, 3, 3)}
     assert [r.segment_id for r in got if r.distance == r.distance] == [1]
+
+
+def test_summary_trims_bodies(spark):
+    hits = spark.createDataFrame([(1, 1, "u", "  a\nb "), (1, 2, "v", "  c　"), (2, 1, "w", "\t d\n ")], "query_id bigint, rank bigint, url string, body string")
+    got = {r.query_id: r.summary for r in rag.summaries(hits).collect()}
+    assert got == {1: "[1] u: a b... | [2] v: c...", 2: "[1] w: \t d ..."}
