@@ -202,3 +202,20 @@ def test_summary_trims_bodies(spark):
     hits = spark.createDataFrame([(1, 1, "u", "  a\nb "), (1, 2, "v", "  c　"), (2, 1, "w", "\t d\n ")], "query_id bigint, rank bigint, url string, body string")
     got = {r.query_id: r.summary for r in rag.summaries(hits).collect()}
     assert got == {1: "[1] u: a b... | [2] v: c...", 2: "[1] w: \t d ..."}
+
+
+def test_segments_count_a_text_a_few_times(monkeypatch):
+    seen = []
+
+    class Counting:
+        def findall(self, text, token=segment.TOKEN):
+            seen.append(len(text))
+            return token.findall(text)
+
+    monkeypatch.setattr(segment, "TOKEN", Counting())
+    text = " ".join(f"word{i % 997}," for i in range(20_000))
+    for v in segment.STRATEGIES:
+        seen.clear()
+        got = segment.segments(text, v)
+        assert sum(seen) <= 8 * len(text)
+        assert got == segment.segments(text, v, segment.Config(count=lambda x: segment.strict(x)))
