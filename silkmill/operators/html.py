@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom
+from .batches import table_of, text_parts
 
 LINKS = "page_id bigint, position int, kind string, url string, anchor string, context string"
 
 
-def links(pages: DataFrame, hosts: tuple[str, ...] | None = None) -> DataFrame:
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, *r) for i, u, h in zip(b.page_id, b.url, b.html, strict=True) for r in dom.links(h, u, hosts)]
-            yield pd.DataFrame(rows, columns=["page_id", "position", "kind", "url", "anchor", "context"])
+def rows_of(pages: DataFrame, of: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that of makes of each page, after its page_id; of has the other columns, the last of which is its html."""
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[k] for k in kinds]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_parts(batches, "html"):
+            yield table_of([(i, *r) for i, *page in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in of(*page)], list(names), types)
 
-    return pages.select("page_id", "url", "html").where("url is not null").mapInPandas(each, LINKS)
+    return pages.mapInArrow(each, schema)
+
+
+def links(pages: DataFrame, hosts: tuple[str, ...] | None = None) -> DataFrame:
+    return rows_of(pages.select("page_id", "url", "html").where("url is not null"), lambda u, h: dom.links(h, u, hosts), LINKS)
 
 
 def link_graph(pages: DataFrame) -> DataFrame:
@@ -34,12 +43,7 @@ def link_targets(pages: DataFrame) -> DataFrame:
 
 
 def images(pages: DataFrame) -> DataFrame:
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, *r, "BINARY") for i, u, h in zip(b.page_id, b.url, b.html, strict=True) for r in dom.images(h, u)]
-            yield pd.DataFrame(rows, columns=["page_id", "position", "url", "filename", "content_type"])
-
-    return pages.select("page_id", "url", "html").where("url is not null").mapInPandas(each, "page_id bigint, position int, url string, filename string, content_type string")
+    return rows_of(pages.select("page_id", "url", "html").where("url is not null"), lambda u, h: ((*r, "BINARY") for r in dom.images(h, u)), "page_id bigint, position int, url string, filename string, content_type string")
 
 
 def blocks(pages: DataFrame, selectors: tuple[str, ...] = dom.SELECTORS) -> DataFrame:
@@ -50,12 +54,7 @@ def blocks(pages: DataFrame, selectors: tuple[str, ...] = dom.SELECTORS) -> Data
         dom.strip_noise(root)
         return dom.blocks(root)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, k, *r) for i, h in zip(b.page_id, b.html, strict=True) for k, r in enumerate(of(h))]
-            yield pd.DataFrame(rows, columns=["page_id", "position", "tag", "level", "text"]).astype({"level": "Int32"})
-
-    return pages.select("page_id", "html").mapInPandas(each, "page_id bigint, position int, tag string, level int, text string")
+    return rows_of(pages.select("page_id", "html"), lambda h: ((k, *r) for k, r in enumerate(of(h))), "page_id bigint, position int, tag string, level int, text string")
 
 
 def cleaned(pages: DataFrame, selectors: tuple[str, ...] = dom.SELECTORS, compat: bool = False) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import segment as seg
+from .batches import table_of, text_parts
 
 FIELDS = "heading_path string, merge_group_parent string, segment_type string, segment_text string, embedding_text string, token_estimate int, char_count int"
 #: Python's \w and not \s, spelt so that Java and RE2 agree.
@@ -22,14 +25,15 @@ def token_estimate(text: Column) -> Column:
 def segments(pages: DataFrame, strategy: str = "v4", cfg: seg.Config = seg.Config(), id_col: str = "page_id", text_col: str = "cleaned_content") -> DataFrame:
     """page_id, strategy, chunk_index and the segment, for each segment of each page whose text isn't blank."""
     names = [f.split()[0] for f in FIELDS.split(", ")]
+    types = [pa.int64(), pa.string(), pa.int32(), *(pa.int32() if f.endswith(" int") else pa.string() for f in FIELDS.split(", "))]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, strategy, k, *(s[n] for n in names)) for i, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True) for k, s in enumerate(seg.segments(t, strategy, cfg))]
-            yield pd.DataFrame(rows, columns=["page_id", "strategy", "chunk_index", *names])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_parts(batches, "t"):
+            rows = [(i, strategy, k, *(s[n] for n in names)) for i, t in zip(b.column("page_id").to_pylist(), b.column("t").to_pylist(), strict=True) for k, s in enumerate(seg.segments(t, strategy, cfg))]
+            yield table_of(rows, ["page_id", "strategy", "chunk_index", *names], types)
 
     p = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(text_col).alias("t")).where("t is not null and length(trim(t)) > 0")
-    return p.mapInPandas(each, f"page_id bigint, strategy string, chunk_index int, {FIELDS}")
+    return p.mapInArrow(each, f"page_id bigint, strategy string, chunk_index int, {FIELDS}")
 
 
 def fixed_chunks(rows: DataFrame, id_col: str, text_col: str, size: int = 50) -> DataFrame:
@@ -39,11 +43,15 @@ def fixed_chunks(rows: DataFrame, id_col: str, text_col: str, size: int = 50) ->
 
 
 def sentence_chunks(rows: DataFrame, id_col: str, text_col: str, most_words: int = 256, compat: bool = False) -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def run(t: pd.Series) -> pd.Series:
-        return pd.Series([seg.sentence_chunks(x, most_words, compat) if x else [] for x in t], dtype=object)
-
-    return rows.select(id_col, F.posexplode(run(text_col)).alias("chunk_index", "chunk"))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_parts(batches, "t"):
+            found = [seg.sentence_chunks(x, most_words, compat) if x else [] for x in b.column("t").to_pylist()]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(np.repeat(np.arange(len(found)), size))), pa.array(index, pa.int32()), pa.array([c for x in found for c in x], pa.string())], [id_col, "chunk_index", "chunk"])
+
+    r = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    return r.mapInArrow(each, StructType([StructField(id_col, r.schema["id"].dataType), StructField("chunk_index", IntegerType()), StructField("chunk", StringType())]))
 
 
 def block_kinds(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

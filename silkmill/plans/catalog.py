@@ -569,6 +569,7 @@ def percentile_nearest_rank(s, d):
 def outlined(s, d) -> DataFrame:
     """Multi-block texts, one for each twenty documents: heading marks and bodies."""
     g = load(s, d, "documents").select((F.col("doc_id") / 20).cast("bigint").alias("page_id"), F.struct("doc_id", F.concat(F.lit("[H"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("] "), "source", F.lit("\n\n"), "text").alias("t")).alias("p"))
+    g = g.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "page_id")  # a number of their own, as small partitions that are joined would segment on few cores
     return g.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "\n\n").alias("cleaned_content"))
 
 

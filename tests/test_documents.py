@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from silkmill.config import EngineConfig, layered
 from silkmill.functions import dom, scoring, segment, wrapper
 from silkmill.operators import rag
 from silkmill.operators import segment as ops
+from silkmill.operators.batches import text_parts
 from silkmill.sources import readers
 
 README = """<html><head><title> T </title><meta name=description content=" d "></head><body><a href="/x">top</a><article class="markdown-body entry-content">
@@ -219,3 +221,9 @@ def test_segments_count_a_text_a_few_times(monkeypatch):
         got = segment.segments(text, v)
         assert sum(seen) <= 8 * len(text)
         assert got == segment.segments(text, v, segment.Config(count=lambda x: segment.strict(x)))
+
+
+def test_text_parts_are_bounded():
+    b = pa.record_batch({"id": list(range(6)), "t": ["a" * 40, None, "b" * 50, "c" * 500, "", "d" * 90]})
+    parts = [p.column("id").to_pylist() for p in text_parts(iter([b, b.slice(3), b.slice(0, 0)]), "t", 100)]
+    assert parts == [[0, 1, 2], [3], [4, 5]] + [[3], [4, 5]]
