@@ -76,22 +76,24 @@ def block_kinds(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def quality(segs: DataFrame, cap: int = 240) -> DataFrame:
     """By strategy: pages, segments, tokens (least, median, nearest-rank 95th), small and over-long ones, heading coverage, warnings."""
-    t = F.col("token_estimate")
-    out = segs.groupBy("strategy").agg(
-        F.countDistinct("page_id").alias("pages"),
-        F.count("*").alias("segments"),
-        F.min(t).alias("min_tokens"),
-        F.expr("cast(percentile(token_estimate, 0.5) as int)").alias("median_tokens"),
-        F.count_if(t < 20).alias("under_20"),
-        F.count_if(t < 40).alias("under_40"),
-        F.count_if(t > cap).alias("over_cap"),
-        F.round(100 * F.count_if(F.col("heading_path").isNotNull()) / F.count("*"), 2).alias("heading_percent"),
-    )
-    # ranks over the histogram of token counts, which stays small, and not over the segments
+    # one pass over the segments: token counts by page, then their histogram, which stays small; a page's own figures go with its first count
+    t, c, first = F.col("token_estimate"), F.col("c"), F.col("at") == 0
+    pages = segs.groupBy("strategy", "page_id").agg(F.collect_list(F.struct("token_estimate")).alias("ts"), F.count("heading_path").alias("headed"))
+    rows = pages.select("strategy", "page_id", "headed", F.posexplode("ts").alias("at", "t")).select("*", F.col("t")["token_estimate"].alias("token_estimate"))
+    h = rows.groupBy("strategy", "token_estimate").agg(F.count("*").alias("c"), F.count_if(first & F.col("page_id").isNotNull()).alias("pages"), F.sum(F.when(first, F.col("headed")).otherwise(0)).alias("headed"))
+    # ranks over the histogram of token counts, and not over the segments
     w = Window.partitionBy("strategy").orderBy("token_estimate").rowsBetween(Window.unboundedPreceding, 0)
-    h = segs.groupBy("strategy", "token_estimate").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w))
-    h = h.withColumn("n", F.sum("c").over(Window.partitionBy("strategy")))
+    h = h.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("strategy")))
     rank = F.greatest(F.lit(1), F.rint(F.lit(95 / 100.0) * F.col("n")))
-    p95 = h.where((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select("strategy", F.col("token_estimate").alias("p95_tokens"))
-    out = out.join(p95, "strategy")
+    out = h.groupBy("strategy").agg(
+        F.sum("pages").alias("pages"),
+        F.sum(c).alias("segments"),
+        F.min(t).alias("min_tokens"),
+        F.expr("cast(percentile(token_estimate, 0.5, c) as int)").alias("median_tokens"),
+        F.sum(F.when(t < 20, c).otherwise(0)).alias("under_20"),
+        F.sum(F.when(t < 40, c).otherwise(0)).alias("under_40"),
+        F.sum(F.when(t > cap, c).otherwise(0)).alias("over_cap"),
+        F.round(100 * F.sum("headed") / F.sum(c), 2).alias("heading_percent"),
+        F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - c < rank), t)).alias("p95_tokens"),
+    )
     return out.withColumn("warn", (F.col("median_tokens") < 120) | (F.col("p95_tokens") > 450) | (F.col("over_cap") > 0))

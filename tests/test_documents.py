@@ -227,3 +227,15 @@ def test_text_parts_are_bounded():
     b = pa.record_batch({"id": list(range(6)), "t": ["a" * 40, None, "b" * 50, "c" * 500, "", "d" * 90]})
     parts = [p.column("id").to_pylist() for p in text_parts(iter([b, b.slice(3), b.slice(0, 0)]), "t", 100)]
     assert parts == [[0, 1, 2], [3], [4, 5]] + [[3], [4, 5]]
+
+
+def test_quality_segments_once(spark):
+    pages = spark.createDataFrame([(i, "[H1] a\n\n" + "word, " * (i * 40)) for i in range(1, 30)] + [(None, "x")], "page_id bigint, cleaned_content string")
+    segs = ops.segments(pages, "v1")
+    q = ops.quality(segs)
+    assert q._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    p, r = segs.toPandas(), q.first()
+    t = p.token_estimate.sort_values().tolist()
+    assert (r.pages, r.segments, r.min_tokens, r.median_tokens) == (29, len(t), t[0], int(p.token_estimate.median()))
+    assert (r.under_20, r.under_40, r.over_cap) == (sum(x < 20 for x in t), sum(x < 40 for x in t), sum(x > 240 for x in t))
+    assert r.p95_tokens == t[max(1, round(0.95 * len(t))) - 1] and r.heading_percent == 100.0
