@@ -479,3 +479,29 @@ def test_fingerprint_odd_rows(odd, none):
     got = editprint.copies(odd).collect()
     assert sorted((r.doc_id, r.group_id, r.links, r.copies) for r in got) == [(1, 1, 0, 2), (2, 1, 0, 2), (5, 5, 0, 1), (6, 6, 0, 1), (7, 7, 0, 1), (8, 8, 0, 1)]
     assert editprint.copies(none).count() == 0
+
+
+def test_candidates_of_a_crowd_come_in_runs():
+    """A band of thousands is all pairs, never at once."""
+    r = np.zeros(3000, editprint.RECORD)
+    r["key"], r["id"], r["size"] = 7, np.arange(3000) * 5, 100
+    runs = [len(x) for x in editprint.candidate_runs(r, most=600_000)]
+    assert sum(runs) == 3000 * 2999 // 2 and len(runs) > 5 and max(runs) <= 900_000
+
+
+def test_few_texts_are_held_and_all_pairs_verified(spark, monkeypatch):
+    """With parts of little text, and so many of them, the same pairs."""
+    g = np.random.default_rng(12)
+    base = "".join(g.choice(list("abcdefgh "), 900))
+    rows = []
+    for i in range(60):
+        x = list(base)
+        for at in g.integers(0, 900, i % 12):
+            x[at] = "z"
+        rows.append((i, "".join(x)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(tuple, editprint.copies(docs).collect()))
+    monkeypatch.setattr(editprint, "PART_CHARS", 5000)
+    monkeypatch.setattr(editprint, "PART_RECORDS", 100)
+    monkeypatch.setattr(editprint, "HOME", 8)
+    assert sorted(map(tuple, editprint.copies(docs).collect())) == want and max(x[2] for x in want) > 10
